@@ -1,12 +1,14 @@
 """BPE encoding and decoding by tree concatenation, equal to what the tokenizers library gives.
 
-A long text is cut in halves, these again, until pieces are short. All pieces are encoded in one
-batch. Neighbours are joined by encoding a window around the cut anew: it reaches some words into
-either side and grows until its outer words are, in place and in ids, those that the two sides already have.
-From a word that both agree on, both read the same text alike, so the joined ids are those of the
-whole. A single word can be long too (no blank for pages on end): it is cut and joined in the same way by its
-symbols, where a window agrees if its first and last tokens are those of the sides; a row of tokens
-is what BPE gives if each neighbouring pair is, so that is exact again.
+A long text is cut in halves, these again, until pieces are short. Pieces are encoded on their own.
+Neighbours are joined by encoding a window around the cut anew: it reaches some runs of
+characters (what stands between blanks) into either side and grows until its outermost runs are, with their
+ids, those that the two sides already have; the joined ids are then those of the whole. A single word can be long too (no blank
+for pages on end): it is cut and joined in the same way by its symbols, where a window agrees if its first and last tokens
+are those of the sides; a row of tokens is what BPE gives if each neighbouring pair is, so that is exact again.
+
+Most runs occur again and again, so each Python worker remembers their ids and their decoded form;
+the library encodes those that are new, all of a batch at once.
 
 Defined results: null and empty texts have no tokens; strings of special tokens in a text are those tokens,
 as in the library; repeated rows get equal results.
@@ -17,33 +19,40 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from tokenizers import Encoding, Tokenizer
+from tokenizers import Tokenizer
 
 from .common import map_texts
 
 #: Texts of more characters are cut; pieces have at most so many.
-PIECE = 16_384
+PIECE = 4_096
 #: Words of more bytes are cut.
 WORD_PIECE = 4_096
-#: Words that a window reaches into either side at first; the two outermost on each side must agree.
-WINDOW = 8
-#: Words that the library remembers, for each Python worker.
-CACHE = 200_000
+#: Runs that a window reaches into either side at first, tokens in a long word.
+WINDOW = 4
+#: Runs that a Python worker remembers; when it has so many it starts anew.
+REMEMBERED = 250_000
+#: Longer runs aren't remembered.
+LONGEST_REMEMBERED = 64
+#: Characters for which Python's lower() and split() do what the tokenizer's normalizer does: Latin-1 without the separators 1C to 1F.
+PLAIN = re.compile(r"[\x00-\x1b\x20-\xff]*")
 
 
 class TreeEncoder:
-    """Encoder and decoder of a tokenizer file: BPE with byte-level symbols, words cut by a pattern."""
+    """Encoder and decoder of a tokenizer file of this kind: BPE over byte-level symbols, words cut by a pattern that drops blanks, lower case."""
 
     def __init__(self, path: str, piece: int = PIECE, word_piece: int = WORD_PIECE) -> None:
         with open(path, encoding="utf-8") as f:
             config = json.load(f)
-        self.piece, self.word_piece = max(64, piece), max(16, word_piece)
+        steps = [x["type"] for x in (config["normalizer"] or {}).get("normalizers", [])]
+        cut = (config["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
+        if steps != ["NFC", "Replace", "Lowercase"] or (cut.get("behavior"), cut.get("invert")) != ("Removed", True) or config["decoder"]:
+            raise ValueError(f"{path}: not a tokenizer that cuts words at blanks and drops these")
+        self.piece, self.word_piece = max(16, piece), max(16, word_piece)
         self.whole = Tokenizer.from_file(path)
         self.whole.no_truncation()
         self.whole.no_padding()
@@ -53,83 +62,92 @@ class TreeEncoder:
         raw = plain | {"pre_tokenizer": None}
         self.word_end = Tokenizer.from_str(json.dumps(raw))
         self.word_part = Tokenizer.from_str(json.dumps(raw | {"model": config["model"] | {"end_of_word_suffix": None}}))
-        for x in (self.whole, self.bare):
-            x.model._resize_cache(CACHE) if hasattr(x.model, "_resize_cache") else None
         self.special = {x["content"]: x["id"] for x in config["added_tokens"]}
         longest_first = sorted(self.special, key=len, reverse=True)
         self.special_at = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if self.special else None
-        self.long_run = re.compile(rf"\S{{{self.word_piece},}}")
+        #: Run to its ids and their decoded form, both as bytes.
+        self.memory: dict[str, tuple[bytes, bytes]] = {}
 
     # Whole texts.
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text, as little-endian unsigned 32-bit numbers."""
-        out: list[np.ndarray] = [np.zeros(0, "<u4")] * len(texts)
-        short = [k for k, x in enumerate(texts) if x and len(x) <= self.piece and not (len(x) >= self.word_piece and self.long_run.search(x))]
-        for k, found in zip(short, self.whole.encode_batch_fast([texts[k] for k in short], add_special_tokens=False), strict=True):
-            out[k] = np.array(found.ids, "<u4")
-        done = set(short)
-        for k, x in enumerate(texts):
-            if x and k not in done:
-                out[k] = self._long(x)
+        return [np.frombuffer(x, "<u4") for x, _ in self.encode_decode(texts)]
+
+    def encode_decode(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
+        """For each text its ids as bytes, and what they decode to in UTF-8."""
+        runs = [self._runs_of(x) if x else [] for x in texts]
+        self._learn({r for own in runs for r in own})
+        out = []
+        for own in runs:
+            known = [self.memory[r] for r in own]
+            out.append((b"".join([a for a, _ in known]), b" ".join([b for a, b in known if a])))
         return out
 
-    def _long(self, text: str) -> np.ndarray:
-        parts = []
-        for piece in self.special_at.split(text) if self.special_at else [text]:
-            if piece in self.special:
-                parts.append(np.array([self.special[piece]], "<u4"))
-            elif piece:
-                piece = self.whole.normalizer.normalize_str(piece) if self.whole.normalizer else piece
-                parts += self._runs(piece)
-        return np.concatenate(parts) if parts else np.zeros(0, "<u4")
-
-    def _runs(self, text: str) -> Iterator[np.ndarray]:
-        """Normalised text: runs without a blank that may hold a long word go by words, all between by the tree."""
-        at = 0
-        for m in self.long_run.finditer(text):
-            yield self._tree(text[at : m.start()])
-            for word, _ in self.bare.pre_tokenizer.pre_tokenize_str(m.group()):
-                yield self._word(word)
-            at = m.end()
-        yield self._tree(text[at:])
+    def decode(self, ids: list[np.ndarray]) -> list[str]:
+        return self.whole.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
+
+    def _learn(self, runs: set[str]) -> None:
+        """Remember runs that are new; special tokens stand as runs with a leading blank, which no other has."""
+        if len(self.memory) > REMEMBERED:
+            self.memory.clear()
+        for r in [r for r in self.memory if len(r) > LONGEST_REMEMBERED and r not in runs]:
+            del self.memory[r]
+        new = [r for r in runs if r not in self.memory]
+        ids: dict[str, list[int]] = {}
+        short = []
+        for r in new:
+            if r[0] == " ":
+                ids[r] = [self.special[r[1:]]]
+            elif len(r) > self.word_piece // 4:
+                ids[r] = [i for word, _ in self.bare.pre_tokenizer.pre_tokenize_str(r) for i in self._word(word)]
+            else:
+                short.append(r)
+        ids |= {r: x.ids for r, x in zip(short, self.bare.encode_batch_fast(short, add_special_tokens=False), strict=True)}
+        for r, text in zip(ids, self.whole.decode_batch(list(ids.values()), skip_special_tokens=False), strict=True):
+            self.memory[r] = (np.array(ids[r], "<u4").tobytes(), text.encode("utf-8", "surrogatepass"))
+
+    def _runs_of(self, text: str) -> list[str]:
+        """The runs between blanks of a text, as the normalizer leaves them."""
+        if self.special_at and self.special_at.search(text):
+            out = []
+            for piece in self.special_at.split(text):
+                if piece in self.special:
+                    out.append(" " + piece)
+                elif piece:
+                    out += self._tree(*self._normal(piece))
+            return out
+        return self._tree(*self._normal(text))
+
+    def _normal(self, text: str) -> tuple[str, str | None]:
+        """The normalized text, and what parts its runs: None for any blank."""
+        if PLAIN.fullmatch(text):
+            return text.lower(), None
+        return self.whole.normalizer.normalize_str(text), " "
 
     # A text's tree.
 
-    def _cuts(self, a: int, b: int) -> list[int]:
-        """Where halving cuts the range until pieces are short."""
-        if b - a <= self.piece:
-            return []
-        mid = (a + b) // 2
-        return [*self._cuts(a, mid), mid, *self._cuts(mid, b)]
-
-    def _tree(self, text: str) -> np.ndarray:
-        if not text:
-            return np.zeros(0, "<u4")
-        ends = [0, *self._cuts(0, len(text)), len(text)]
-        spans = list(zip(ends[:-1], ends[1:], strict=True))
-        leaves = [_Side(a, b, [_Part(x, a)]) for (a, b), x in zip(spans, self.bare.encode_batch([text[a:b] for a, b in spans], add_special_tokens=False), strict=True)]
-        while len(leaves) > 1:
-            pairs = [self._join(text, leaves[k], leaves[k + 1]) for k in range(0, len(leaves) - 1, 2)]
-            leaves = [*pairs, *leaves[len(pairs) * 2 :]]
-        return leaves[0].ids()
-
-    def _join(self, text: str, left: _Side, right: _Side) -> _Side:
+    def _tree(self, text: str, blank: str | None) -> list[str]:
+        """Runs of a text: of its halves, joined where a window around the cut and both sides agree."""
+        if len(text) <= self.piece:
+            return [r for r in text.split(blank) if r]
+        mid = len(text) // 2
+        left, right = self._tree(text[:mid], blank), self._tree(text[mid:], blank)
+        parted = not (text[mid - 1].split(blank)[:1] and text[mid].split(blank)[:1]) or " " in (text[mid - 1], text[mid])
         reach = WINDOW
         while True:
-            a, b = left.word_from_end(reach), right.word_from_start(reach)
-            if a is None or b is None:
-                # The window would leave a piece: the two sides are encoded as one.
-                whole = self.bare.encode(text[left.start : right.end], add_special_tokens=False)
-                return _Side(left.start, right.end, [_Part(whole, left.start)])
-            start, end = left.parts[-1].word(a)[0], right.parts[0].word(b)[1]
-            window = _Part(self.bare.encode(text[start:end], add_special_tokens=False), start)
-            n = window.last - window.first
-            if n >= 4 and all(window.word(k) == left.parts[-1].word(a + k) for k in (0, 1)) and all(window.word(n - 1 - k) == right.parts[0].word(b - k) for k in (0, 1)):
-                before, after = left.parts[-1].cut(left.parts[-1].first, a), right.parts[0].cut(b + 1, right.parts[0].last)
-                return _Side(left.start, right.end, [*left.parts[:-1], before, window, after, *right.parts[1:]])
+            a, b = max(0, len(left) - reach), min(len(right), reach)
+            window = [r for r in (" ".join(left[a:]) + (" " if parted else "") + " ".join(right[:b])).split(blank) if r]
+            # A side that the window takes whole has nothing left to agree with.
+            agreed = (a == 0 or self._same(window[:1], left[a : a + 1])) and (b == len(right) or self._same(window[-1:], right[b - 1 : b]))
+            if agreed:
+                return [*left[:a], *window, *right[b:]]
             reach *= 2
 
+    def _same(self, one: list[str], other: list[str]) -> bool:
+        """Equal runs have equal ids."""
+        return bool(one) and one == other
+
     # A long word's tree.
 
     def _word(self, word: str) -> np.ndarray:
@@ -164,54 +182,6 @@ class TreeEncoder:
                 return [*left[:a], *window, *right[b:]]
             reach *= 2
 
-    # Back.
-
-    def decode(self, ids: list[np.ndarray]) -> list[str]:
-        return self.whole.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
-
-
-class _Part:
-    """Words first to last (not included) of an encoding whose text starts at `start`."""
-
-    __slots__ = ("encoding", "first", "last", "start", "tokens")
-
-    def __init__(self, encoding: Encoding, start: int, tokens: list[int] | None = None, first: int = 0, last: int | None = None) -> None:
-        self.encoding, self.start, self.first = encoding, start, first
-        self.tokens = encoding.ids if tokens is None else tokens
-        self.last = last if last is not None else encoding.token_to_word(len(encoding) - 1) + 1 if len(encoding) else 0
-
-    def word(self, k: int) -> tuple[int, int, list[int]]:
-        """Where word k starts and ends in the whole text, and its ids."""
-        a, b = self.encoding.word_to_chars(k)
-        i, j = self.encoding.word_to_tokens(k)
-        return self.start + a, self.start + b, self.tokens[i:j]
-
-    def cut(self, first: int, last: int) -> _Part:
-        return _Part(self.encoding, self.start, self.tokens, first, last)
-
-    def ids(self) -> np.ndarray:
-        if self.first >= self.last:
-            return np.zeros(0, "<u4")
-        i, j = self.encoding.word_to_tokens(self.first)[0], self.encoding.word_to_tokens(self.last - 1)[1]
-        return np.array(self.tokens[i:j], "<u4")
-
-
-class _Side:
-    """A stretch of the text as parts in order; words are told apart within the outermost part only."""
-
-    __slots__ = ("end", "parts", "start")
-
-    def __init__(self, start: int, end: int, parts: list[_Part]) -> None:
-        self.start, self.end, self.parts = start, end, [p for p in parts if p.first < p.last]
-
-    def word_from_end(self, reach: int) -> int | None:
-        return None if not self.parts or self.parts[-1].last - reach < self.parts[-1].first else self.parts[-1].last - reach
-
-    def word_from_start(self, reach: int) -> int | None:
-        return None if not self.parts or self.parts[0].first + reach > self.parts[0].last else self.parts[0].first + reach - 1
-
-    def ids(self) -> np.ndarray:
-        return np.concatenate([np.zeros(0, "<u4"), *(p.ids() for p in self.parts)])
 
 
 @lru_cache(maxsize=4)
@@ -228,16 +198,14 @@ def tokenize(documents: DataFrame, path: str, *, id_column: str = "doc_id", text
     """
 
     def made(texts: list) -> dict[str, list]:
-        coder = encoder(path)
-        ids = coder.encode(texts)
-        decoded = coder.decode(ids)
+        found = encoder(path).encode_decode(texts)
         out = {
-            "n_tokens": pa.array([len(x) for x in ids], pa.int64()),
-            "ids_sha256": [hashlib.sha256(x.tobytes()).hexdigest() for x in ids],
-            "decoded_sha256": [hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in decoded],
+            "n_tokens": pa.array([len(x) // 4 for x, _ in found], pa.int64()),
+            "ids_sha256": [hashlib.sha256(x).hexdigest() for x, _ in found],
+            "decoded_sha256": [hashlib.sha256(x).hexdigest() for _, x in found],
         }
         if keep_ids:
-            out |= {"ids": pa.array([x.view("<i4") for x in ids], pa.list_(pa.int32())), "decoded": decoded}
+            out |= {"ids": pa.array([np.frombuffer(x, "<i4") for x, _ in found], pa.list_(pa.int32())), "decoded": [x.decode("utf-8", "surrogatepass") for _, x in found]}
         return out
 
     schema = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if keep_ids else "")
