@@ -10,6 +10,7 @@ from .bpe import tokenize
 from .common import table
 from .html import extract
 from .language import predict_languages
+from .lines import line_report
 from .mixing import mix_sources
 from .perplexity import classify
 from .repetition import repetition_rules
@@ -26,6 +27,11 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(table(spark, sf_dir, "documents"))
+
+
 @query
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

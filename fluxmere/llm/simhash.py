@@ -236,3 +236,25 @@ def simhash_components(documents: DataFrame, *, id_column: str = "doc_id", text_
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     found = named.join(least, "component").select("fp", "component_id")
     return docs.join(found, "fp").select(id_column, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "fp", "component_id")
+
+
+def keep_one(documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", width: int = 4, budget: int = 4) -> DataFrame:
+    """The columns of documents, one row of each component: that with the smallest id, by its text's hash if ids repeat.
+
+    In a component where all ids are null the row with the smallest hash stays; rows that are equal in id and text are one.
+    """
+    names = documents.columns
+    keys = F.xxhash64(text_column)
+    own = written(fingerprints(documents.select(F.col(id_column).alias("id"), keys.alias("key"), F.col(text_column).alias("text")), "id", "text", width))
+    leaves = own.select("fp").distinct()
+    linked = hamming_components(leaves, budget)
+    placed = own.join(linked, own.fp == linked.id, "left").select(own.id.alias("id"), "key", F.coalesce("component", "fp").alias("component"))
+    order = F.struct(F.col("id").isNull(), F.col("id"), F.col("key"))
+    chosen = written(placed.groupBy("component").agg(F.min(order).alias("x")).select(F.col("x.id").alias("chosen_id"), F.col("x.key").alias("chosen_key")))
+    keyed = documents.withColumnsRenamed({c: f"in_{k}" for k, c in enumerate(names)})
+    id_in, text_in = f"in_{names.index(id_column)}", f"in_{names.index(text_column)}"
+    kept = keyed.join(chosen, F.col(id_in).eqNullSafe(F.col("chosen_id")) & (F.xxhash64(text_in) == F.col("chosen_key")), "left_semi")
+    out = kept.select(*(F.col(f"in_{k}").alias(c) for k, c in enumerate(names)))
+    # Rows that repeat id and text pass the join together; only then is there anything left to do.
+    single = own.groupBy("id", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    return out if single else out.dropDuplicates([id_column, text_column])
