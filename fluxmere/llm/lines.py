@@ -85,14 +85,20 @@ def band_keys(lines: DataFrame) -> DataFrame:
     return least.select("id", F.array(*keys).alias("keys"))
 
 
-def _shingles(wide: Column) -> Column:
-    return F.array_distinct(F.transform(_places(wide), lambda at: _shingle(wide, at)))
+def _once(value: Column, use) -> Column:
+    """use(value) with value computed once: Catalyst would copy its expression to each place, even into a loop over shingles."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _shingles(norm: str) -> Column:
+    return _once(_wide(norm), lambda wide: F.array_distinct(F.transform(_places(wide), lambda at: _shingle(wide, at))))
 
 
 def _jaccard(a: str, b: str) -> Column:
-    sets = [_shingles(F.col(x)) for x in (a, b)]
-    both = F.size(F.array_intersect(*sets))
-    return both / (F.size(sets[0]) + F.size(sets[1]) - both)
+    def of_sets(x: Column) -> Column:
+        return _once(F.size(F.array_intersect(x["a"], x["b"])), lambda both: both / (F.size(x["a"]) + F.size(x["b"]) - both))
+
+    return _once(F.struct(_shingles(a).alias("a"), _shingles(b).alias("b")), of_sets)
 
 
 def verified(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
@@ -100,8 +106,7 @@ def verified(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
     text = lines.select("id", "norm")
     first = pairs.join(text.withColumnsRenamed({"id": "a", "norm": "norm_a"}), "a")
     both = first.join(text.withColumnsRenamed({"id": "b", "norm": "norm_b"}), "b")
-    wide = both.select("a", "b", _wide("norm_a").alias("wide_a"), _wide("norm_b").alias("wide_b"))
-    return wide.where(_jaccard("wide_a", "wide_b") >= threshold).select("a", "b")
+    return both.where(_jaccard("norm_a", "norm_b") >= threshold).select("a", "b")
 
 
 def line_components(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
