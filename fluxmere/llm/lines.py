@@ -160,7 +160,7 @@ def dedup_lines(documents: DataFrame, *, id_column: str = "doc_id", text_column:
     renamed = documents.withColumnsRenamed({c: f"in_{k}" for k, c in enumerate(names)})
     text, key = f"in_{names.index(text_column)}", f"in_{names.index(id_column)}"
     removed = removed_lines(documents, id_column=id_column, text_column=text_column, threshold=threshold)
-    joined = renamed.withColumn("doc_key", F.xxhash64(text)).join(removed, (F.col(key).cast("bigint").eqNullSafe(F.col("doc_id"))) & (F.col("doc_key") == removed["doc_key"]), "left").drop(removed["doc_key"])
+    joined = renamed.join(removed, F.col(key).cast("bigint").eqNullSafe(F.col("doc_id")) & (F.xxhash64(text) == F.col("doc_key")), "left")
     lines = F.split(text, "\n")
     left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("removed")), lambda i: F.get(lines, i))
     out = joined.withColumn("left_text", F.when(F.col("removed").isNull(), F.col(text)).otherwise(F.array_join(left, "\n")))

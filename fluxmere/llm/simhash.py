@@ -51,13 +51,13 @@ def fingerprint(text: str | None, width: int = 4) -> int:
     return int.from_bytes(np.packbits(2 * bits > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(documents: DataFrame, id_column: str, text_column: str, width: int = 4) -> DataFrame:
-    """id_column and fp, the fingerprint as a signed 64-bit number."""
+def fingerprints(documents: DataFrame, id_column: str, text_column: str, width: int = 4, extra: tuple = ()) -> DataFrame:
+    """id_column, extra columns and fp, the fingerprint as a signed 64-bit number."""
 
     def made(texts: list) -> dict[str, list]:
         return {"fp": pa.array(np.array([fingerprint(x, width) for x in texts], np.uint64).view(np.int64))}
 
-    return map_texts(documents.select(id_column, text_column), id_column, text_column, made, "fp bigint")
+    return map_texts(documents.select(id_column, *extra, text_column), id_column, text_column, made, "fp bigint")
 
 
 def _levels(leaves: np.ndarray, depth: int) -> list[np.ndarray]:
@@ -245,10 +245,10 @@ def keep_one(documents: DataFrame, *, id_column: str = "doc_id", text_column: st
     """
     names = documents.columns
     keys = F.xxhash64(text_column)
-    own = written(fingerprints(documents.select(F.col(id_column).alias("id"), keys.alias("key"), F.col(text_column).alias("text")), "id", "text", width))
+    own = written(fingerprints(documents.select(F.col(id_column).alias("id"), keys.alias("key"), F.col(text_column).alias("text")), "id", "text", width, ("key",)))
     leaves = own.select("fp").distinct()
-    linked = hamming_components(leaves, budget)
-    placed = own.join(linked, own.fp == linked.id, "left").select(own.id.alias("id"), "key", F.coalesce("component", "fp").alias("component"))
+    linked = hamming_components(leaves, budget).withColumnRenamed("id", "fp")
+    placed = own.join(linked, "fp", "left").select("id", "key", F.coalesce("component", "fp").alias("component"))
     order = F.struct(F.col("id").isNull(), F.col("id"), F.col("key"))
     chosen = written(placed.groupBy("component").agg(F.min(order).alias("x")).select(F.col("x.id").alias("chosen_id"), F.col("x.key").alias("chosen_key")))
     keyed = documents.withColumnsRenamed({c: f"in_{k}" for k, c in enumerate(names)})
