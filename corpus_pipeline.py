@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fluxmere.llm.bpe import tokenize
 from fluxmere.llm.common import table, written
@@ -24,8 +25,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier one, or nearly, go; so do documents that lose all their lines."""
-    return dedup_lines(docs, drop_emptied=True)
+    """Lines that repeat an earlier one, or nearly, go; so do documents that lose all their lines. n_chars follows the text."""
+    return dedup_lines(docs, drop_emptied=True).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
