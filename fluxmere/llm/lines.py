@@ -6,10 +6,11 @@ as the smallest shingle hash after flipping a fixed pattern of bits, are joined
 a band's value are candidates. A candidate link counts if the Jaccard similarity of the two
 sets, computed from the texts, reaches the threshold. Of each connected component of links the line that comes first stays.
 
-In a band's bucket every line is compared with the bucket's smallest one. Those that end up in another
-component are then compared with all lines of the bucket, so no link between components is lost and a large group
-of near copies costs one comparison a line. Every line is sent by its hash, never by its document, equal lines are counted before
-they are sent, and Spark splits what joins on a frequent one.
+In a band's bucket every line is compared with the bucket's smallest one, and so it is in the finer buckets of
+lines that share two bands. Lines of a fine bucket that are then still in another component are compared with all
+lines of that bucket. So a large group of near copies costs a comparison or two a line, and a link is missed only if its
+lines never meet a bucket's smallest that both are like. Every line is sent by its hash, never by its document,
+equal lines are counted before they are sent, and Spark splits what joins on a frequent one.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ SHINGLE = 10
 #: Bands of a line and MinHash values of a band: of pairs at the threshold one in 1,300 is missed.
 BANDS, ROWS = 7, 2
 THRESHOLD = 0.8
+#: Of lines of so many characters one shingle in SAMPLED is compared before all are.
+LEAST_SAMPLED, SAMPLED = 200, 8
 #: What line ends leave at a line's ends.
 BLANKS = " \t\r\f\x0b"
 BYTES = 4  # of a character in UTF-32
@@ -101,32 +104,62 @@ def _jaccard(a: str, b: str) -> Column:
     return _once(F.struct(_shingles(a).alias("a"), _shingles(b).alias("b")), of_sets)
 
 
+def texts_of(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """(id, norm, size, sample) of the lines in pairs; sample has the shingle hashes that one in SAMPLED has, null for short lines.
+
+    The ids are looked up in the streamed lines, whose texts are neither sorted nor sent.
+    """
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    found = written(ids.hint("shuffle_hash").join(lines.select("id", "norm"), "id"))
+    wide = found.where(F.length("norm") >= LEAST_SAMPLED).select("id", _wide("norm").alias("wide"))
+    hashes = wide.select("id", "wide", F.explode(_places(F.col("wide"))).alias("at")).select("id", _shingle(F.col("wide"), F.col("at")).alias("h"))
+    samples = hashes.where(F.pmod("h", F.lit(SAMPLED)) == 0).groupBy("id").agg(F.collect_set("h").alias("sample"))
+    return written(found.join(samples, "id", "left"))
+
+
 def verified(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose lines are similar enough."""
-    text = lines.select("id", "norm")
-    first = pairs.join(text.withColumnsRenamed({"id": "a", "norm": "norm_a"}), "a")
-    both = first.join(text.withColumnsRenamed({"id": "b", "norm": "norm_b"}), "b")
-    return both.where(_jaccard("norm_a", "norm_b") >= threshold).select("a", "b")
+    """The pairs (a, b) whose lines are similar enough.
+
+    Long lines are first compared by samples of their shingles, chosen by hash and so alike in both: a pair goes if the
+    sample's similarity is four deviations below the threshold. What is left is compared by all shingles.
+    """
+    texts = texts_of(pairs, lines)
+    sides = [texts.select(F.col("id").alias(x), F.col("sample").alias(f"sample_{x}")) for x in "ab"]
+    both = F.size(F.array_intersect("sample_a", "sample_b"))
+    either = F.size("sample_a") + F.size("sample_b") - both
+    likely = F.col("sample_a").isNull() | F.col("sample_b").isNull() | (both >= threshold * either - 4 * F.sqrt(threshold * (1 - threshold) * either))
+    left = written(pairs.join(sides[0], "a").join(sides[1], "b").where(likely).select("a", "b"))
+    sides = [texts.select(F.col("id").alias(x), F.col("norm").alias(f"norm_{x}")) for x in "ab"]
+    return left.join(sides[0], "a").join(sides[1], "b").where(_jaccard("norm_a", "norm_b") >= threshold).select("a", "b")
+
+
+def _stars(held: DataFrame) -> DataFrame:
+    """(key, id, rep): the members of every bucket of two or more with its smallest one, that one itself aside."""
+    reps = written(held.groupBy("key").agg(F.min("id").alias("rep"), F.max("id").alias("top")).where("rep <> top").select("key", "rep"))
+    return held.join(reps, "key").where("id <> rep")
 
 
 def line_components(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(id, component) of the lines (id, norm) that link to others."""
     keys = written(band_keys(lines))
     banded = keys.select("id", F.explode("keys").alias("key"))
-    buckets = written(banded.groupBy("key").agg(F.min("id").alias("rep"), F.max("id").alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1"))
-    # A bucket of two is one pair; of larger ones the members are needed.
-    members = written(banded.join(buckets.where("n > 2").select("key", "rep"), "key").where("id <> rep"))
-    stars = buckets.where("n = 2").select(F.col("rep").alias("a"), F.col("top").alias("b")).union(members.select("rep", "id")).distinct()
-    links = written(verified(stars, lines, threshold))
+    buckets = written(banded.groupBy("key").agg(F.min("id").alias("rep"), F.max("id").alias("top")).where("rep <> top").select("key", "rep"))
+    shared = written(banded.join(buckets, "key"))
+    # Lines that share two bands stand in a finer bucket too, where hardly any other lines are.
+    by_line = shared.groupBy("id").agg(F.array_sort(F.collect_set("key")).alias("keys"))  # at most BANDS of them
+    first = by_line.select("id", "keys", F.posexplode("keys").alias("at", "one"))
+    twos = first.select("id", F.explode(F.slice("keys", F.col("at") + 2, F.size("keys"))).alias("two"), "one").select("id", F.xxhash64("one", "two").alias("key"))
+    fine = written(_stars(twos))
+    stars = shared.where("id <> rep").select("rep", "id").union(fine.select("rep", "id")).toDF("a", "b").distinct()
+    links = written(verified(written(stars), lines, threshold))
     found = components(links)
-    named = members.join(found, "id", "left").withColumn("own", F.coalesce("component", "id")).drop("component")
+    named = fine.join(found, "id", "left").withColumn("own", F.coalesce("component", "id")).drop("component")
     reps = found.withColumnsRenamed({"id": "rep", "component": "rep_component"})
-    named = named.join(reps, "rep", "left").withColumn("rep_own", F.coalesce("rep_component", "rep")).drop("rep_component")
-    apart = written(named.where("own <> rep_own").select("key", "id", "own"))
-    if apart.isEmpty():
-        return found
+    named = written(named.join(reps, "rep", "left").select("key", "id", "own", (F.col("own") != F.coalesce("rep_component", "rep")).alias("apart")))
     others = named.select("key", F.col("id").alias("other"), F.col("own").alias("other_own"))
-    pairs = apart.join(others, "key").where("own <> other_own").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    pairs = written(named.where("apart").join(others, "key").where("own <> other_own").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct())
+    if pairs.isEmpty():
+        return found
     more = written(verified(pairs, lines, threshold))
     return found if more.isEmpty() else components(links.union(more))
 
