@@ -42,6 +42,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(df: DataFrame, rows: int = 512) -> DataFrame:
+    """df, after seeing to it that Arrow batches of this session hold few rows: whole texts are long, and Spark counts rows, not bytes."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = int(df.sparkSession.conf.get(name, "10000"))
+    if not 0 < held <= rows:
+        df.sparkSession.conf.set(name, str(rows))
+    return df
+
+
 def row_key(*columns: str) -> list:
     """Two 64-bit hashes that identify a row by the given columns; null and empty differ."""
     parts = [x for c in columns for x in (F.col(c).isNull(), F.col(c))]
@@ -86,7 +95,7 @@ def map_texts(df: DataFrame, id_column: str, text_column: str, made: Callable[[l
     from pyspark.sql.types import _parse_datatype_string
 
     arrow = {f.name: to_arrow_type(f.dataType) for f in _parse_datatype_string(schema).fields}
-    return df.mapInArrow(run, full)
+    return bounded_batches(df).mapInArrow(run, full)
 
 
 def words(text: str | None) -> list[bytes]:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .backoff import Coder, Table, bounded_sample, gram_counts
-from .common import GROUP_CHARS, groups_of
+from .common import GROUP_CHARS, bounded_batches, groups_of
 
 #: Longest context in bytes.
 ORDER = 4
@@ -112,7 +112,7 @@ def identify(documents: DataFrame, coder: Coder | None, *, text_column: str = "t
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(scores), pa.array(rates, pa.float64())], names=[*kept, "lang_pred", "score", "lang_bits"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields)
-    return documents.mapInArrow(run, f"{fields}, lang_pred string, score double, lang_bits double")
+    return bounded_batches(documents).mapInArrow(run, f"{fields}, lang_pred string, score double, lang_bits double")
 
 
 def held_out(id_column: str = "doc_id"):

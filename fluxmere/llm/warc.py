@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualNullSafe, EqualTo, Filter, In, InputPartition, IsNotNull, StringStartsWith, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from .common import shared_dir, written
+from .common import bounded_batches, shared_dir, written
 
 SCHEMA = "record_type string, record_id string, target_uri string, date string, payload_digest string, payload_bytes bigint, refers_to string, row_id bigint, refers_to_row_id bigint, headers map<string,string>, payload binary"
 #: What a writer's input must have; a null payload is an empty one.
@@ -410,7 +410,7 @@ def archived(pages: DataFrame, *, id_column: str = "page_id", url_column: str =
 
 def write_archives(records: DataFrame, path: str, **options) -> None:
     records.sparkSession.dataSource.register(WarcSource)
-    records.write.format("warc").mode("append").options(**options).save(path)
+    bounded_batches(records).write.format("warc").mode("append").options(**options).save(path)
 
 
 def read_archives(spark: SparkSession, path: str, **options) -> DataFrame:
