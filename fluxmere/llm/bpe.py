@@ -19,7 +19,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,7 @@ WORD_PIECE = 4_096
 #: Runs that a window reaches into either side at first, tokens in a long word.
 WINDOW = 4
 #: Runs that a Python worker remembers; when it has so many it starts anew.
-REMEMBERED = 250_000
+REMEMBERED = 120_000
 #: Longer runs aren't remembered.
 LONGEST_REMEMBERED = 64
 #: Characters for which Python's lower() and split() do what the tokenizer's normalizer does: Latin-1 without the separators 1C to 1F.
@@ -59,12 +59,13 @@ class TreeEncoder:
         plain = config | {"normalizer": None, "added_tokens": [], "truncation": None, "padding": None, "post_processor": None}
         self.bare = Tokenizer.from_str(json.dumps(plain))
         self.suffix = config["model"].get("end_of_word_suffix") or ""
-        raw = plain | {"pre_tokenizer": None}
-        self.word_end = Tokenizer.from_str(json.dumps(raw))
-        self.word_part = Tokenizer.from_str(json.dumps(raw | {"model": config["model"] | {"end_of_word_suffix": None}}))
+        self.raw = plain | {"pre_tokenizer": None, "model": None}
+        self.path = path
         self.special = {x["content"]: x["id"] for x in config["added_tokens"]}
         longest_first = sorted(self.special, key=len, reverse=True)
         self.special_at = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if self.special else None
+        #: Without a decoder a text of ids is their tokens, parted by blanks.
+        self.table = [(self.whole.id_to_token(i) or "").encode("utf-8", "surrogatepass") for i in range(self.whole.get_vocab_size(with_added_tokens=True))]
         #: Run to its ids and their decoded form, both as bytes.
         self.memory: dict[str, tuple[bytes, bytes]] = {}
 
@@ -93,19 +94,25 @@ class TreeEncoder:
             self.memory.clear()
         for r in [r for r in self.memory if len(r) > LONGEST_REMEMBERED and r not in runs]:
             del self.memory[r]
-        new = [r for r in runs if r not in self.memory]
-        ids: dict[str, list[int]] = {}
-        short = []
-        for r in new:
+        new = list(runs - self.memory.keys())
+        rare = [r for r in new if r[0] == " " or len(r) > self.word_piece // 4]
+        for r in rare:
             if r[0] == " ":
-                ids[r] = [self.special[r[1:]]]
-            elif len(r) > self.word_piece // 4:
-                ids[r] = [i for word, _ in self.bare.pre_tokenizer.pre_tokenize_str(r) for i in self._word(word)]
+                ids = np.array([self.special[r[1:]]], "<u4")
             else:
-                short.append(r)
-        ids |= {r: x.ids for r, x in zip(short, self.bare.encode_batch_fast(short, add_special_tokens=False), strict=True)}
-        for r, text in zip(ids, self.whole.decode_batch(list(ids.values()), skip_special_tokens=False), strict=True):
-            self.memory[r] = (np.array(ids[r], "<u4").tobytes(), text.encode("utf-8", "surrogatepass"))
+                ids = np.concatenate([np.zeros(0, "<u4"), *(self._word(word) for word, _ in self.bare.pre_tokenizer.pre_tokenize_str(r))])
+            self.memory[r] = (ids.tobytes(), b" ".join([self.table[i] for i in ids.tolist()]))
+        short = [r for r in new if r not in self.memory] if rare else new
+        if short:
+            # One text of all new runs, cut again where each of them starts.
+            found = self.bare.encode(" ".join(short), add_special_tokens=False)
+            ids = found.ids
+            starts = np.fromiter((a for a, _ in found.offsets), np.int64, len(ids))
+            ends = np.cumsum(np.fromiter(map(len, short), np.int64, len(short)) + 1)
+            cuts = [0, *np.searchsorted(starts, ends).tolist()]
+            raw, tokens = np.array(ids, "<u4").tobytes(), list(map(self.table.__getitem__, ids))
+            spans = list(zip(cuts[:-1], cuts[1:], strict=True))
+            self.memory.update(zip(short, zip([raw[4 * a : 4 * b] for a, b in spans], [b" ".join(tokens[a:b]) for a, b in spans], strict=True), strict=True))
 
     def _runs_of(self, text: str) -> list[str]:
         """The runs between blanks of a text, as the normalizer leaves them."""
@@ -150,6 +157,20 @@ class TreeEncoder:
 
     # A long word's tree.
 
+    def _of_word(self, suffix: str | None) -> Tokenizer:
+        with open(self.path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        return Tokenizer.from_str(json.dumps(self.raw | {"model": model | {"end_of_word_suffix": suffix}}))
+
+    @cached_property
+    def word_end(self) -> Tokenizer:
+        return self._of_word(self.suffix or None)
+
+    @cached_property
+    def word_part(self) -> Tokenizer:
+        """Symbols inside a word: the last has no word's end."""
+        return self._of_word(None)
+
     def _word(self, word: str) -> np.ndarray:
         """word: the byte-level symbols of one word."""
         if len(word) <= self.word_piece:
