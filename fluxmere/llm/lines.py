@@ -6,11 +6,11 @@ as the smallest shingle hash after flipping a fixed pattern of bits, are joined
 a band's value are candidates. A candidate link counts if the Jaccard similarity of the two
 sets, computed from the texts, reaches the threshold. Of each connected component of links the line that comes first stays.
 
-In a band's bucket every line is compared with the bucket's smallest one, and so it is in the finer buckets of
-lines that share two bands. Lines of a fine bucket that are then still in another component are compared with all
-lines of that bucket. So a large group of near copies costs a comparison or two a line, and a link is missed only if its
-lines never meet a bucket's smallest that both are like. Every line is sent by its hash, never by its document,
-equal lines are counted before they are sent, and Spark splits what joins on a frequent one.
+In a band's bucket every line is compared with HUBS members, chosen by hashes, and so it is in the finer buckets of
+lines that share two bands. A bucket of a few lines is compared whole that way, and a large group of near copies costs a
+few comparisons a line, never one for each pair; a link is missed only if its lines meet no hub that both are like. Every
+line is sent by its hash, never by its document, equal lines are counted before they are sent, and Spark splits what
+joins on a frequent one.
 """
 
 from __future__ import annotations
@@ -25,11 +25,13 @@ from .components import components
 
 #: Characters of a shingle; a shorter line is one shingle.
 SHINGLE = 10
-#: Bands of a line and MinHash values of a band: of pairs at the threshold one in 1,300 is missed.
-BANDS, ROWS = 7, 2
+#: Bands of a line and MinHash values of a band: of pairs at the threshold one in 460 is missed.
+BANDS, ROWS = 6, 2
 THRESHOLD = 0.8
-#: Of lines of so many characters one shingle in SAMPLED is compared before all are.
-LEAST_SAMPLED, SAMPLED = 200, 8
+#: Lines under SHORT characters are compared whole, of longer ones one shingle in SAMPLED first.
+SHORT, SAMPLED = 250, 8
+#: Members of a bucket that all others are compared with.
+HUBS = 12
 #: What line ends leave at a line's ends.
 BLANKS = " \t\r\f\x0b"
 BYTES = 4  # of a character in UTF-32
@@ -105,63 +107,60 @@ def _jaccard(a: str, b: str) -> Column:
 
 
 def texts_of(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """(id, norm, size, sample) of the lines in pairs; sample has the shingle hashes that one in SAMPLED has, null for short lines.
+    """(id, norm, sample) of the lines in pairs: sample has all shingle hashes of a short line and one in SAMPLED, chosen by hash, of a long one.
 
     The ids are looked up in the streamed lines, whose texts are neither sorted nor sent.
     """
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     found = written(ids.hint("shuffle_hash").join(lines.select("id", "norm"), "id"))
-    wide = found.where(F.length("norm") >= LEAST_SAMPLED).select("id", _wide("norm").alias("wide"))
-    hashes = wide.select("id", "wide", F.explode(_places(F.col("wide"))).alias("at")).select("id", _shingle(F.col("wide"), F.col("at")).alias("h"))
-    samples = hashes.where(F.pmod("h", F.lit(SAMPLED)) == 0).groupBy("id").agg(F.collect_set("h").alias("sample"))
-    return written(found.join(samples, "id", "left"))
+    wide = found.select("id", _wide("norm").alias("wide"), (F.length("norm") < SHORT).alias("short"))
+    hashes = wide.select("id", "wide", "short", F.explode(_places(F.col("wide"))).alias("at")).select("id", "short", _shingle(F.col("wide"), F.col("at")).alias("h"))
+    samples = hashes.where(F.col("short") | (F.pmod("h", F.lit(SAMPLED)) == 0)).groupBy("id").agg(F.collect_set("h").alias("sample"))
+    return written(found.join(samples, "id", "left").select("id", "norm", F.coalesce("sample", F.array().cast("array<bigint>")).alias("sample")))
 
 
 def verified(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose lines are similar enough.
 
-    Long lines are first compared by samples of their shingles, chosen by hash and so alike in both: a pair goes if the
-    sample's similarity is four deviations below the threshold. What is left is compared by all shingles.
+    Two short lines are compared by their sets. Of two long ones the samples are compared first, and a pair goes if their
+    similarity is four deviations below the threshold; what is left, and pairs of a short and a long line, are compared by all shingles.
     """
     texts = texts_of(pairs, lines)
-    sides = [texts.select(F.col("id").alias(x), F.col("sample").alias(f"sample_{x}")) for x in "ab"]
-    both = F.size(F.array_intersect("sample_a", "sample_b"))
-    either = F.size("sample_a") + F.size("sample_b") - both
-    likely = F.col("sample_a").isNull() | F.col("sample_b").isNull() | (both >= threshold * either - 4 * F.sqrt(threshold * (1 - threshold) * either))
-    left = written(pairs.join(sides[0], "a").join(sides[1], "b").where(likely).select("a", "b"))
+    sides = [texts.select(F.col("id").alias(x), F.col("sample").alias(f"sample_{x}"), (F.length("norm") < SHORT).alias(f"short_{x}")) for x in "ab"]
+    counted = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "short_a", "short_b", F.size(F.array_intersect("sample_a", "sample_b")).alias("both"), (F.size("sample_a") + F.size("sample_b")).alias("sizes"))
+    either = F.col("sizes") - F.col("both")
+    slack = F.when(F.col("short_a"), F.lit(0.0)).otherwise(4 * F.sqrt(threshold * (1 - threshold) * either))
+    mixed = F.col("short_a") != F.col("short_b")
+    left = written(counted.where(mixed | (F.col("both") >= threshold * either - slack)).select("a", "b", (F.col("short_a") & F.col("short_b")).alias("sure")))
     sides = [texts.select(F.col("id").alias(x), F.col("norm").alias(f"norm_{x}")) for x in "ab"]
-    return left.join(sides[0], "a").join(sides[1], "b").where(_jaccard("norm_a", "norm_b") >= threshold).select("a", "b")
+    whole = left.where("not sure").join(sides[0], "a").join(sides[1], "b").where(_jaccard("norm_a", "norm_b") >= threshold)
+    return left.where("sure").select("a", "b").union(whole.select("a", "b"))
 
 
 def _stars(held: DataFrame) -> DataFrame:
-    """(key, id, rep): the members of every bucket of two or more with its smallest one, that one itself aside."""
-    reps = written(held.groupBy("key").agg(F.min("id").alias("rep"), F.max("id").alias("top")).where("rep <> top").select("key", "rep"))
-    return held.join(reps, "key").where("id <> rep")
+    """(key, id, hubs): the members of every bucket of two or more with HUBS of its members, chosen by hashes; all members of a small one, or nearly."""
+    picks = [F.min("id"), F.max("id"), *(F.min_by("id", F.xxhash64("id", F.lit(k))) for k in range(HUBS - 2))]
+    hubs = written(held.groupBy("key").agg(*(x.alias(f"h{k}") for k, x in enumerate(picks))).where("h0 <> h1").select("key", F.array(*(f"h{k}" for k in range(HUBS))).alias("hubs")))
+    return hubs.hint("shuffle_hash").join(held, "key").select("key", "id", "hubs")
+
+
+def _spokes(stars: DataFrame) -> DataFrame:
+    """(a, b), a < b: every member with the hubs of its bucket."""
+    pairs = stars.select("id", F.explode(F.array_distinct("hubs")).alias("hub")).where("id <> hub")
+    return pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
 
 
 def line_components(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(id, component) of the lines (id, norm) that link to others."""
     keys = written(band_keys(lines))
     banded = keys.select("id", F.explode("keys").alias("key"))
-    buckets = written(banded.groupBy("key").agg(F.min("id").alias("rep"), F.max("id").alias("top")).where("rep <> top").select("key", "rep"))
-    shared = written(banded.join(buckets, "key"))
+    shared = written(_stars(banded))
     # Lines that share two bands stand in a finer bucket too, where hardly any other lines are.
     by_line = shared.groupBy("id").agg(F.array_sort(F.collect_set("key")).alias("keys"))  # at most BANDS of them
     first = by_line.select("id", "keys", F.posexplode("keys").alias("at", "one"))
     twos = first.select("id", F.explode(F.slice("keys", F.col("at") + 2, F.size("keys"))).alias("two"), "one").select("id", F.xxhash64("one", "two").alias("key"))
-    fine = written(_stars(twos))
-    stars = shared.where("id <> rep").select("rep", "id").union(fine.select("rep", "id")).toDF("a", "b").distinct()
-    links = written(verified(written(stars), lines, threshold))
-    found = components(links)
-    named = fine.join(found, "id", "left").withColumn("own", F.coalesce("component", "id")).drop("component")
-    reps = found.withColumnsRenamed({"id": "rep", "component": "rep_component"})
-    named = written(named.join(reps, "rep", "left").select("key", "id", "own", (F.col("own") != F.coalesce("rep_component", "rep")).alias("apart")))
-    others = named.select("key", F.col("id").alias("other"), F.col("own").alias("other_own"))
-    pairs = written(named.where("apart").join(others, "key").where("own <> other_own").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct())
-    if pairs.isEmpty():
-        return found
-    more = written(verified(pairs, lines, threshold))
-    return found if more.isEmpty() else components(links.union(more))
+    pairs = _spokes(shared.union(_stars(twos))).distinct()
+    return components(verified(written(pairs), lines, threshold))
 
 
 def removed_lines(documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -194,8 +193,7 @@ def dedup_lines(documents: DataFrame, *, id_column: str = "doc_id", text_column:
     text, key = f"in_{names.index(text_column)}", f"in_{names.index(id_column)}"
     removed = removed_lines(documents, id_column=id_column, text_column=text_column, threshold=threshold)
     joined = renamed.join(removed, F.col(key).cast("bigint").eqNullSafe(F.col("doc_id")) & (F.xxhash64(text) == F.col("doc_key")), "left")
-    lines = F.split(text, "\n")
-    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("removed")), lambda i: F.get(lines, i))
+    left = _once(F.split(text, "\n"), lambda lines: F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("removed")), lambda i: F.get(lines, i)))
     out = joined.withColumn("left_text", F.when(F.col("removed").isNull(), F.col(text)).otherwise(F.array_join(left, "\n")))
     if drop_emptied:
         out = out.where(F.col("removed").isNull() | (F.btrim("left_text", F.lit(BLANKS + "\n")) != ""))
