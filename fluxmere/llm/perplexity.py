@@ -43,7 +43,7 @@ def _adjusted(counts: DataFrame, order: int) -> DataFrame:
 def _discounts(adjusted: DataFrame) -> DataFrame:
     """(model, size, d1, d2, d3) from how many n-grams have adjusted counts of 1 to 4."""
     n = [F.sum(F.when(F.col("c") == k, 1).otherwise(0)).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)]
-    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    y = F.col("n1") / F.nullif(F.col("n1") + 2 * F.col("n2"), F.lit(0.0))
 
     def d(k: int):
         # Tables too small to tell get half the count's last unit.
