@@ -38,6 +38,15 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def released(df: DataFrame) -> DataFrame:
+    """df, a written table, after letting Spark drop the shuffle files that went into it.
+
+    Spark deletes them once the driver's JVM has found that nothing refers to them, which on an idle heap can take half an hour.
+    """
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -20,7 +20,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, written
+from .common import released, shared_dir, written
 from .components import components
 
 #: Characters of a shingle; a shorter line is one shingle.
@@ -137,30 +137,36 @@ def verified(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
     return left.where("sure").select("a", "b").union(whole.select("a", "b"))
 
 
+def _shared(held: DataFrame) -> DataFrame:
+    """The rows (key, id) of every key that two or more have; keys are counted where they are read, before they are sent."""
+    keys = released(written(held.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")))
+    return keys.hint("shuffle_hash").join(held, "key").select("key", "id")
+
+
 def _stars(held: DataFrame) -> DataFrame:
-    """(key, id, hubs): the members of every bucket of two or more with HUBS of its members, chosen by hashes; all members of a small one, or nearly."""
+    """(key, id, hubs): the rows (key, id) with HUBS members of their bucket, chosen by hashes; nearly all members of a small one."""
     picks = [F.min("id"), F.max("id"), *(F.min_by("id", F.xxhash64("id", F.lit(k))) for k in range(HUBS - 2))]
-    hubs = written(held.groupBy("key").agg(*(x.alias(f"h{k}") for k, x in enumerate(picks))).where("h0 <> h1").select("key", F.array(*(f"h{k}" for k in range(HUBS))).alias("hubs")))
+    hubs = written(held.groupBy("key").agg(F.array_distinct(F.array(*picks)).alias("hubs")))
     return hubs.hint("shuffle_hash").join(held, "key").select("key", "id", "hubs")
 
 
 def _spokes(stars: DataFrame) -> DataFrame:
     """(a, b), a < b: every member with the hubs of its bucket."""
-    pairs = stars.select("id", F.explode(F.array_distinct("hubs")).alias("hub")).where("id <> hub")
+    pairs = stars.select("id", F.explode("hubs").alias("hub")).where("id <> hub")
     return pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
 
 
 def line_components(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(id, component) of the lines (id, norm) that link to others."""
     keys = written(band_keys(lines))
-    banded = keys.select("id", F.explode("keys").alias("key"))
-    shared = written(_stars(banded))
+    shared = released(written(_shared(keys.select("id", F.explode("keys").alias("key")))))
     # Lines that share two bands stand in a finer bucket too, where hardly any other lines are.
     by_line = shared.groupBy("id").agg(F.array_sort(F.collect_set("key")).alias("keys"))  # at most BANDS of them
     first = by_line.select("id", "keys", F.posexplode("keys").alias("at", "one"))
     twos = first.select("id", F.explode(F.slice("keys", F.col("at") + 2, F.size("keys"))).alias("two"), "one").select("id", F.xxhash64("one", "two").alias("key"))
-    pairs = _spokes(shared.union(_stars(twos))).distinct()
-    return components(verified(written(pairs), lines, threshold))
+    fine = written(_shared(twos))
+    pairs = _spokes(_stars(shared).union(_stars(fine))).distinct()
+    return components(verified(released(written(pairs)), lines, threshold))
 
 
 def removed_lines(documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -170,7 +176,8 @@ def removed_lines(documents: DataFrame, *, id_column: str = "doc_id", text_colum
     """
     every = lines_of(documents, id_column, text_column)
     distinct = every.groupBy("id").agg(F.min(place()).alias("place"), F.count(F.lit(1)).alias("n"), F.first("norm").alias("norm"))
-    with _Buckets(distinct) as lines:
+    with _Buckets(distinct) as held:
+        lines = released(held)
         found = written(line_components(lines, threshold))
         firsts = lines.select("id", "place", "n")
         kept = firsts.join(found, "id").groupBy("component").agg(F.min("place").alias("kept"))
