@@ -134,6 +134,6 @@ def reject_unknown(documents: DataFrame, *, id_column: str = "doc_id", text_colu
     """
     coder = fit(documents.where(~held_out(id_column)), id_column=id_column, text_column=text_column, lang_column=lang_column, order=order, sample=sample)
     keep = documents.columns
-    found = identify(documents.withColumnsRenamed({c: f"in_{k}" for k, c in enumerate(keep)}), coder, text_column=f"in_{keep.index(text_column)}")
+    found = identify(documents.toDF(*(f"in_{k}" for k in range(len(keep)))), coder, text_column=f"in_{keep.index(text_column)}")
     kept = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("lang_bits") < 8))
     return kept.select(*(F.coalesce(f"in_{k}", "lang_pred").alias(c) if c == lang_column else F.col(f"in_{k}").alias(c) for k, c in enumerate(keep)))

@@ -196,7 +196,7 @@ def dedup_lines(documents: DataFrame, *, id_column: str = "doc_id", text_column:
     both stay. drop_emptied leaves out documents that had lines and have lost them all.
     """
     names = documents.columns
-    renamed = documents.withColumnsRenamed({c: f"in_{k}" for k, c in enumerate(names)})
+    renamed = documents.toDF(*(f"in_{k}" for k in range(len(names))))
     text, key = f"in_{names.index(text_column)}", f"in_{names.index(id_column)}"
     removed = removed_lines(documents, id_column=id_column, text_column=text_column, threshold=threshold)
     joined = renamed.join(removed, F.col(key).cast("bigint").eqNullSafe(F.col("doc_id")) & (F.xxhash64(text) == F.col("doc_key")), "left")

@@ -149,8 +149,8 @@ def mixed(documents: DataFrame, **options) -> DataFrame:
     """
     names = [options.get(k, v) for k, v in (("id_column", "doc_id"), ("source_column", "source"), ("text_column", "text"))]
     plan = mix_sources(documents, **options).where("times > 0").groupBy("key_a", "key_b").agg(F.first("times").alias("mix_times"))
-    named = dict(zip(("mix_key_a", "mix_key_b"), row_key(*names), strict=True))
-    keyed = documents.withColumns(named)
-    plan = plan.withColumnsRenamed({"key_a": "mix_key_a", "key_b": "mix_key_b"})
-    taken = keyed.join(plan, ["mix_key_a", "mix_key_b"])
-    return taken.withColumn("mix_times", F.explode(F.sequence(F.lit(1), F.col("mix_times")))).select(*documents.columns)
+    held = documents.columns
+    inner = documents.toDF(*(f"in_{k}" for k in range(len(held))))
+    keyed = inner.select("*", *row_key(*(f"in_{held.index(c)}" for c in names)))
+    taken = keyed.join(plan, ["key_a", "key_b"]).withColumn("mix_times", F.explode(F.sequence(F.lit(1), F.col("mix_times"))))
+    return taken.select(*(F.col(f"in_{k}").alias(c) for k, c in enumerate(held)))

@@ -251,7 +251,7 @@ def keep_one(documents: DataFrame, *, id_column: str = "doc_id", text_column: st
     placed = own.join(linked, "fp", "left").select("id", "key", F.coalesce("component", "fp").alias("component"))
     order = F.struct(F.col("id").isNull(), F.col("id"), F.col("key"))
     chosen = written(placed.groupBy("component").agg(F.min(order).alias("x")).select(F.col("x.id").alias("chosen_id"), F.col("x.key").alias("chosen_key")))
-    keyed = documents.withColumnsRenamed({c: f"in_{k}" for k, c in enumerate(names)})
+    keyed = documents.toDF(*(f"in_{k}" for k in range(len(names))))
     id_in, text_in = f"in_{names.index(id_column)}", f"in_{names.index(text_column)}"
     kept = keyed.join(chosen, F.col(id_in).eqNullSafe(F.col("chosen_id")) & (F.xxhash64(text_in) == F.col("chosen_key")), "left_semi")
     out = kept.select(*(F.col(f"in_{k}").alias(c) for k, c in enumerate(names)))
