@@ -19,13 +19,13 @@ statement("filter_str_order", "SELECT n_nationkey, n_name FROM tpch.nation WHERE
 statement("filter_ne", "SELECT o_orderkey, o_orderstatus FROM tpch.orders WHERE o_orderstatus != 'F'")
 statement("filter_and_or_not", "SELECT l_orderkey, l_linenumber FROM tpch.lineitem WHERE (l_quantity > 45 OR l_discount < 0.01) AND NOT l_returnflag = 'N'")
 statement("filter_in", "SELECT l_orderkey, l_linenumber, l_returnflag FROM tpch.lineitem WHERE l_returnflag IN ('A', 'R') AND l_linenumber IN (1, 3)")
-statement("filter_like", "SELECT p_partkey, p_name FROM tpch.part WHERE p_name LIKE '%1%' AND p_brand LIKE 'B%'")
+statement("filter_like", "SELECT p_partkey, p_name FROM tpch.part WHERE p_name LIKE '%e%' AND p_type LIKE '%E%'")
 statement("filter_between", "SELECT o_orderkey, o_totalprice FROM tpch.orders WHERE o_totalprice BETWEEN 1000 AND 50000")
 statement("filter_null", "SELECT event_id FROM tpch.events WHERE props IS NOT NULL AND value IS NOT NULL")
 statement("filter_time_range", "SELECT event_id, ts FROM tpch.events WHERE ts = '[1970/01/01 00:00:00 - 2024/01/15 12:00:00]'", "SELECT event_id, ts FROM events WHERE ts >= timestamp '1970-01-01 00:00:00' AND ts <= timestamp '2024-01-15 12:00:00'")
 statement("filter_time_open_end", "SELECT event_id, ts FROM tpch.events WHERE ts = '[2024/01/15 00:00:00 - ]'", "SELECT event_id, ts FROM events WHERE ts >= timestamp '2024-01-15 00:00:00'")
 statement("filter_time_open_start", "SELECT event_id, ts FROM tpch.events WHERE ts = '[ - 2024/01/10 00:00:00]'", "SELECT event_id, ts FROM events WHERE ts <= timestamp '2024-01-10 00:00:00'")
-statement("project_alias", "SELECT l_orderkey AS order_key, l_linenumber AS line, round(l_extendedprice * (1 - l_discount), 2) AS net FROM tpch.lineitem WHERE l_orderkey < 100")
+statement("project_alias", "SELECT l_orderkey AS order_key, l_linenumber AS line, cast(cast(l_extendedprice AS decimal(18,2)) * (1 - cast(l_discount AS decimal(4,2))) AS double) AS net FROM tpch.lineitem WHERE l_orderkey < 100")
 statement("case_expression", "SELECT p_partkey, CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'middle' ELSE 'large' END AS size_class FROM tpch.part")
 statement("cast_and_try", "SELECT o_orderkey, cast(o_totalprice AS int) AS whole, cast(o_orderkey AS string) AS key_text FROM tpch.orders", "SELECT o_orderkey, cast(trunc(o_totalprice) AS int) AS whole, cast(o_orderkey AS varchar) AS key_text FROM orders")
 
@@ -40,7 +40,7 @@ statement("join_cross", "SELECT a.r_name AS left_name, b.r_name AS right_name FR
 statement("join_theta", "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM tpch.nation a JOIN tpch.nation b ON a.n_nationkey < b.n_nationkey AND a.n_regionkey <> b.n_regionkey")
 statement("join_semi_in", "SELECT p_partkey FROM tpch.part WHERE p_partkey IN (SELECT l_partkey FROM tpch.lineitem WHERE l_quantity > 49)")
 statement("join_semi_exists", "SELECT o_orderkey FROM tpch.orders WHERE EXISTS (SELECT 1 FROM tpch.lineitem WHERE l_orderkey = o_orderkey AND l_discount > 0.09)")
-statement("join_anti_not_exists", "SELECT c_custkey FROM tpch.customer WHERE NOT EXISTS (SELECT 1 FROM tpch.orders WHERE o_custkey = c_custkey)")
+statement("join_anti_not_exists", "SELECT c_custkey FROM tpch.customer WHERE NOT EXISTS (SELECT 1 FROM tpch.orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 statement("join_anti_not_in", "SELECT s_suppkey FROM tpch.supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM tpch.lineitem WHERE l_quantity > 49 AND l_discount > 0.09)")
 statement("join_range", "SELECT n.n_nationkey, count(*) AS parts FROM tpch.nation n JOIN tpch.part p ON p.p_size BETWEEN n.n_nationkey AND n.n_nationkey + 2 GROUP BY n.n_nationkey")
 statement("join_comma", "SELECT n_name, r_name FROM tpch.nation, tpch.region WHERE n_regionkey = r_regionkey AND r_regionkey > 0")
@@ -79,7 +79,7 @@ statement("paging", "SELECT o_orderkey FROM tpch.orders ORDER BY o_orderkey LIMI
 statement("union_all", "SELECT n_name AS name FROM tpch.nation UNION ALL SELECT r_name AS name FROM tpch.region")
 statement("union_distinct", "SELECT l_returnflag AS f FROM tpch.lineitem UNION SELECT o_orderstatus AS f FROM tpch.orders")
 statement("intersect_rows", "SELECT c_nationkey AS k FROM tpch.customer INTERSECT SELECT s_nationkey AS k FROM tpch.supplier")
-statement("except_rows", "SELECT p_partkey AS k FROM tpch.part EXCEPT SELECT l_partkey AS k FROM tpch.lineitem WHERE l_quantity > 30")
+statement("except_rows", "SELECT p_partkey AS k FROM tpch.part EXCEPT SELECT l_partkey AS k FROM tpch.lineitem WHERE l_quantity > 49")
 statement("intersect_all", "SELECT c_nationkey AS k FROM tpch.customer INTERSECT ALL SELECT s_nationkey AS k FROM tpch.supplier")
 statement("except_all", "SELECT c_nationkey AS k FROM tpch.customer EXCEPT ALL SELECT s_nationkey AS k FROM tpch.supplier")
 statement("cte", "WITH big AS (SELECT o_custkey, o_totalprice FROM tpch.orders WHERE o_totalprice > 200000) SELECT o_custkey, count(*) AS n FROM big GROUP BY o_custkey")
