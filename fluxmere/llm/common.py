@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -43,7 +45,10 @@ def released(df: DataFrame) -> DataFrame:
 
     Spark deletes them once the driver's JVM has found that nothing refers to them, which on an idle heap can take half an hour.
     """
-    df.sparkSession.sparkContext._jvm.System.gc()
+    gc.collect()
+    for _ in range(2):
+        df.sparkSession.sparkContext._jvm.System.gc()
+        time.sleep(0.1)
     return df
 
 

@@ -28,8 +28,8 @@ SHINGLE = 10
 #: Bands of a line and MinHash values of a band: of pairs at the threshold one in 460 is missed.
 BANDS, ROWS = 6, 2
 THRESHOLD = 0.8
-#: Lines under SHORT characters are compared whole, of longer ones one shingle in SAMPLED first.
-SHORT, SAMPLED = 250, 8
+#: Before all shingles of two lines are compared, one in so many is, by its hash; lines of LONG characters or more take fewer.
+LONG, RATE_SHORT, RATE_LONG = 250, 2, 8
 #: Members of a bucket that all others are compared with.
 HUBS = 12
 #: What line ends leave at a line's ends.
@@ -106,35 +106,45 @@ def _jaccard(a: str, b: str) -> Column:
     return _once(F.struct(_shingles(a).alias("a"), _shingles(b).alias("b")), of_sets)
 
 
-def texts_of(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """(id, norm, sample) of the lines in pairs: sample has all shingle hashes of a short line and one in SAMPLED, chosen by hash, of a long one.
-
-    The ids are looked up in the streamed lines, whose texts are neither sorted nor sent.
-    """
+def _looked_up(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """(id, norm) of the lines in pairs: their ids are looked up in the streamed lines, whose texts are neither sorted nor sent."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    found = written(ids.hint("shuffle_hash").join(lines.select("id", "norm"), "id"))
-    wide = found.select("id", _wide("norm").alias("wide"), (F.length("norm") < SHORT).alias("short"))
-    hashes = wide.select("id", "wide", "short", F.explode(_places(F.col("wide"))).alias("at")).select("id", "short", _shingle(F.col("wide"), F.col("at")).alias("h"))
-    samples = hashes.where(F.col("short") | (F.pmod("h", F.lit(SAMPLED)) == 0)).groupBy("id").agg(F.collect_set("h").alias("sample"))
-    return written(found.join(samples, "id", "left").select("id", "norm", F.coalesce("sample", F.array().cast("array<bigint>")).alias("sample")))
+    return ids.hint("shuffle_hash").join(lines.select("id", "norm"), "id")
+
+
+def samples_of(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """(id, sample, long) of the lines in pairs: shingle hashes that are divisible by RATE_SHORT or, for a long line, RATE_LONG, as 31-bit numbers."""
+    wide = _looked_up(pairs, lines).select("id", _wide("norm").alias("wide"), (F.length("norm") >= LONG).alias("long"))
+    hashes = wide.select("id", "wide", "long", F.explode(_places(F.col("wide"))).alias("at")).select("id", "long", _shingle(F.col("wide"), F.col("at")).alias("h"))
+    rate = F.when(F.col("long"), RATE_LONG - 1).otherwise(RATE_SHORT - 1).cast("bigint")
+    taken = F.when(F.col("h").bitwiseAND(rate) == 0, F.col("h").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+    return hashes.groupBy("id").agg(F.collect_set(taken).alias("sample"), F.max("long").alias("long"))
 
 
 def verified(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose lines are similar enough.
 
-    Two short lines are compared by their sets. Of two long ones the samples are compared first, and a pair goes if their
-    similarity is four deviations below the threshold; what is left, and pairs of a short and a long line, are compared by all shingles.
+    Samples of their shingles, chosen by hash and so alike in both, are compared first: a pair goes if their similarity is
+    over four deviations below the threshold. The pairs that are left are compared by all shingles.
     """
-    texts = texts_of(pairs, lines)
-    sides = [texts.select(F.col("id").alias(x), F.col("sample").alias(f"sample_{x}"), (F.length("norm") < SHORT).alias(f"short_{x}")) for x in "ab"]
-    counted = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "short_a", "short_b", F.size(F.array_intersect("sample_a", "sample_b")).alias("both"), (F.size("sample_a") + F.size("sample_b")).alias("sizes"))
-    either = F.col("sizes") - F.col("both")
-    slack = F.when(F.col("short_a"), F.lit(0.0)).otherwise(4 * F.sqrt(threshold * (1 - threshold) * either))
-    mixed = F.col("short_a") != F.col("short_b")
-    left = written(counted.where(mixed | (F.col("both") >= threshold * either - slack)).select("a", "b", (F.col("short_a") & F.col("short_b")).alias("sure")))
+    samples = written(samples_of(pairs, lines))
+    sides = [samples.select(F.col("id").alias(x), F.col("sample").alias(f"sample_{x}"), F.col("long").alias(f"long_{x}")) for x in "ab"]
+
+    def likely(s: Column) -> Column:
+        def enough(both: Column) -> Column:
+            either = F.size(s["a"]) + F.size(s["b"]) - both
+            return both >= threshold * either - 4 * F.sqrt(threshold * (1 - threshold) * either)
+
+        return _once(F.size(F.array_intersect(s["a"], s["b"])), enough)
+
+    # A short line meets a long one by the hashes that both would take.
+    coarse = lambda x: F.filter(f"sample_{x}", lambda h: h % RATE_LONG == 0)
+    unlike = F.col("long_a") != F.col("long_b")
+    met = F.struct(*(F.when(unlike, coarse(x)).otherwise(F.col(f"sample_{x}")).alias(x) for x in "ab"))
+    left = released(written(pairs.join(sides[0], "a").join(sides[1], "b").where(_once(met, likely)).select("a", "b")))
+    texts = written(_looked_up(left, lines))
     sides = [texts.select(F.col("id").alias(x), F.col("norm").alias(f"norm_{x}")) for x in "ab"]
-    whole = left.where("not sure").join(sides[0], "a").join(sides[1], "b").where(_jaccard("norm_a", "norm_b") >= threshold)
-    return left.where("sure").select("a", "b").union(whole.select("a", "b"))
+    return left.join(sides[0], "a").join(sides[1], "b").where(_jaccard("norm_a", "norm_b") >= threshold).select("a", "b")
 
 
 def _shared(held: DataFrame) -> DataFrame:
