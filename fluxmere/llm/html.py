@@ -50,8 +50,11 @@ MARKS = frozenset(
     "footer header masthead topbar toolbar comment comments commentlist disqus respond reply replies discussion share sharing social related recommended "
     "recommendations newsletter subscribe subscription signup login search widget widgets skip tags outbrain taboola hidden".split()
 )
-#: Words that mark main text; an element with one of them in class or id isn't dropped for another word there.
+#: Words that mark main text, and words beside them that say nothing. An element with a class or id of such words alone isn't dropped for another class.
 MAIN = frozenset("article articlebody main content post entry story body text".split())
+NEUTRAL = frozenset("wrapper wrap container inner outer area page column col single full".split())
+#: A class that starts so tells about something else: with-sidebar, has-comments.
+ABOUT_OTHERS = frozenset("with has no without non".split())
 #: Opening one of these closes an open element of the set behind it, up to the nearest container.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HOLDERS = frozenset("ul ol menu dl table select div article section main aside body html blockquote td th form".split())
@@ -76,14 +79,18 @@ def _marked(tag: str, attrs: str, inside_main: bool) -> tuple[bool, frozenset]:
     if not attrs or attrs.isspace():
         return False, frozenset()
     hints: set[str] = set()
-    marks = False
+    marks: set[str] = set()
     for name, *values in ATTRIBUTE.findall(attrs):
         name, value = name.lower(), next(filter(None, values), "")
         if name in ("class", "id"):
             # camelCase and any other character part words.
-            found = re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower())
-            marks |= not MARKS.isdisjoint(found)
-            hints.update(MAIN.intersection(found))
+            for word in value.split():
+                found = re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", word).lower())
+                if not found or found[0] in ABOUT_OTHERS:
+                    continue
+                marks.update(MARKS.intersection(found))
+                if not MAIN.isdisjoint(found) and (MAIN | NEUTRAL).issuperset(found):
+                    hints.update(MAIN.intersection(found))
         elif name == "role":
             if value.lower() in ROLES:
                 return True, frozenset()
@@ -93,7 +100,9 @@ def _marked(tag: str, attrs: str, inside_main: bool) -> tuple[bool, frozenset]:
             hints.add("articlebody")
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value.lower()):
             return True, frozenset()
-    return marks and not hints and tag not in ("body", "html", "article", "main"), frozenset(hints)
+    if marks == {"header"} and inside_main:
+        return False, frozenset(["header"])
+    return bool(marks) and not hints and tag not in ("body", "html", "article", "main"), frozenset(hints)
 
 
 def parse(html: str) -> Node:
@@ -152,7 +161,8 @@ def parse(html: str) -> Node:
             if last:
                 at = last.parent
         dropped, hints = _marked(tag, attrs, mains > 0)
-        node = Node(tag, at, hints, dropped)
+        # What is called a header inside main text is one.
+        node = Node("header", at) if hints == {"header"} else Node(tag, at, hints, dropped)
         if tag in VOID or attrs.rstrip().endswith("/") and tag not in BLOCKS:
             continue
         if tag in RAW:

@@ -207,3 +207,12 @@ def test_kneser_ney_sums_to_one(spark):
     for context in (b"", b"a", b"ba", b"k ", b"\xff\xff", b"zb"):
         whole = coder.costs([context + bytes([b]) for b in range(256)])[:, 0] - (coder.costs([context])[0, 0] if context else 0)
         assert abs(np.exp2(-whole).sum() - 1) < 1e-3
+
+
+@pytest.mark.parametrize(
+    ("attributes", "kept"),
+    [("class='post-comments'", False), ("class='article-sidebar'", False), ("id='main' class='content with-sidebar'", True), ("class='commentList'", False), ("class='has-comments entry'", True), ("role='navigation'", False), ("class='ad-slot'", False), ("class='reader'", True), ("style='display:none'", False), ("hidden", False)],
+)
+def test_boilerplate_by_attributes(attributes, kept):
+    page = f"<body><div class='story'><p>Main text, of a length, that counts, here and there.</p></div><div {attributes}><p>{'More text, with commas, and so on. ' * 8}</p></div></body>"
+    assert ("More text" in main_text(page)) is kept
