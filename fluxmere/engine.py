@@ -18,6 +18,7 @@ from .operators.model import ModelRegistry
 from .operators.model import operators as model_operators
 from .sources.databases import DatabaseChannels
 from .sources.delimited import import_csv
+from .sources.pcap import PcapSource
 from .sources.registry import FrameRegistry
 from .sql import ExtendedQuery, parse
 from .sql.desugar import granular, named_channels, time_ranges
@@ -75,7 +76,9 @@ class Engine:
         self._tables[name.lower()] = df
 
     def files(self, name: str, path: str, kind: str = "parquet", **options) -> None:
-        """Files as a static channel: parquet, orc, json, csv, text or any source that the session knows."""
+        """Files as a static channel: parquet, orc, json, csv, text, pcap or any source that the session knows."""
+        if kind == "pcap":
+            self.spark.dataSource.register(PcapSource)
         self.table(name, self.spark.read.format(kind).options(**options).load(path))
 
     def import_csv(self, path: str, name: str | None = None) -> dict:

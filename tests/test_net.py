@@ -107,3 +107,20 @@ def test_capture_to_sessions(spark, tmp_path):
     assert cut["cut.packet"]([found], {"size": "20"}).first().packet == frames[0][1][:20]
     assert cut["exclude.encrypted"]([named(found)], {}).count() == 4
     assert cut["include.protocol"]([named(found)], {"value": "['dns']"}).count() == 1
+
+
+def test_applications_in_sql(spark, tmp_path):
+    from fluxmere.engine import Engine
+
+    path = tmp_path / "b.pcap"
+    path.write_bytes(pcap.dump([(1.0, INNER), (2.0, CASES["http"][0]), (3.0, CASES["arp"][0])]))
+    engine = Engine(spark)
+    engine.files("ss.packets", str(path), "pcap")
+    engine.execute("SELECT * FROM ss.packets USING npi.identify INTO dataframe.seen")
+    rules = [("resolver", "DNS", "8.8.0.0/16", None), ("web", None, None, "8000-8100;443"), ("any", None, None, None)]
+    engine.frames.register("rules", spark.createDataFrame(rules, "application string, protocol string, ip string, port string").coalesce(1))
+    found = engine.execute("SELECT * FROM dataframe.seen, dataframe.rules USING npi.application").df
+    assert {r.packet_no: r.application for r in found.collect()} == {1: "resolver", 2: "web", 3: "any"}
+    stats = engine.execute("SELECT * FROM ss.packets USING npm.basic WITH idle=5").df
+    assert stats.count() == 2
+    assert engine.execute("SELECT * FROM dataframe.seen USING capture.ipaddress WITH value='10.0.0.1' THEN npi.protocols").df.count() == 2
