@@ -220,8 +220,8 @@ def dedup_lines(documents: DataFrame, *, id_column: str = "doc_id", text_column:
 def line_report(documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """A row for each row of documents: id, n_lines (0 for a null text), n_kept and removed_lines (numbers from 0)."""
     removed = removed_lines(documents, id_column=id_column, text_column=text_column, threshold=threshold)
-    counted = documents.select(F.col(id_column).alias("id"), F.xxhash64(text_column).alias("key"), F.coalesce(F.size(F.split(text_column, "\n")), F.lit(0)).alias("lines"))
-    counted = counted.select("id", "key", F.greatest("lines", F.lit(0)).cast("bigint").alias("n_lines"))
+    breaks = F.octet_length(text_column) - F.octet_length(F.replace(F.col(text_column), F.lit("\n"), F.lit("")))
+    counted = documents.select(F.col(id_column).alias("id"), F.xxhash64(text_column).alias("key"), F.coalesce(breaks + 1, F.lit(0)).cast("bigint").alias("n_lines"))
     joined = counted.join(removed, F.col("id").cast("bigint").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("doc_key")), "left")
     gone = F.coalesce("removed", F.array().cast("array<int>"))
     return joined.select(F.col("id").alias(id_column), "n_lines", (F.col("n_lines") - F.size(gone)).alias("n_kept"), gone.alias("removed_lines"))
