@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GROUP_CHARS, bounded_batches, groups_of, written
+from .common import GROUP_CHARS, bounded_batches, give_back, groups_of, written
 
 #: Positions that are scored at once, times models.
 CELLS = 1 << 20
@@ -158,6 +158,7 @@ def gram_counts(labelled: DataFrame, order: int) -> DataFrame:
                             key[k:] += data[:-k] << (8 * k) if len(data) > k else 0
                         grams, n = np.unique(key[room >= k], return_counts=True)
                         yield pa.RecordBatch.from_arrays([pa.array([name] * len(grams), pa.string()), pa.array(np.full(len(grams), k + 1)), pa.array(grams), pa.array(n)], names=["model", "size", "gram", "n"])
+        give_back()
 
     return bounded_batches(labelled).select("model", "text").mapInArrow(run, "model string, size bigint, gram bigint, n bigint").groupBy("model", "size", "gram").agg(F.sum("n").alias("n"))
 

@@ -219,7 +219,8 @@ def tokenize(documents: DataFrame, path: str, *, id_column: str = "doc_id", text
     """
 
     def made(texts: list) -> dict[str, list]:
-        found = encoder(path).encode_decode(texts)
+        coder = encoder(path)
+        found = coder.encode_decode(texts)
         out = {
             "n_tokens": pa.array([len(x) // 4 for x, _ in found], pa.int64()),
             "ids_sha256": [hashlib.sha256(x).hexdigest() for x, _ in found],
@@ -231,4 +232,4 @@ def tokenize(documents: DataFrame, path: str, *, id_column: str = "doc_id", text
 
     schema = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if keep_ids else "")
     new = {x.split()[0] for x in schema.split(", ")}
-    return map_texts(documents.select(*(c for c in documents.columns if c not in new)), id_column, text_column, made, schema)
+    return map_texts(documents.select(*(c for c in documents.columns if c not in new)), id_column, text_column, made, schema, lambda: encoder(path).memory.clear())

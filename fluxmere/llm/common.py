@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import time
@@ -56,6 +58,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def give_back() -> None:
+    """Return what a Python worker has freed to the system: it stays on, idle, beside tasks that need the memory."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def bounded_batches(df: DataFrame, rows: int = 512) -> DataFrame:
     """df, after seeing to it that Arrow batches of this session hold few rows: whole texts are long, and Spark counts rows, not bytes."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -84,10 +94,11 @@ def groups_of(texts: list, limit: int = GROUP_CHARS) -> Iterator[tuple[int, int]
         yield start, len(texts)
 
 
-def map_texts(df: DataFrame, id_column: str, text_column: str, made: Callable[[list], dict[str, list]], schema: str) -> DataFrame:
+def map_texts(df: DataFrame, id_column: str, text_column: str, made: Callable[[list], dict[str, list]], schema: str, done: Callable[[], None] | None = None) -> DataFrame:
     """Run made over the text column in Arrow batches; the id column and others of df go through unchanged.
 
-    made gets a list of texts (None for null) and returns a list for each new column, named in schema.
+    made gets a list of texts (None for null) and returns a list for each new column, named in schema; done is called at
+    the end of a partition.
     """
     kept = [c for c in df.columns if c != text_column]
     out_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in kept)
@@ -103,6 +114,9 @@ def map_texts(df: DataFrame, id_column: str, text_column: str, made: Callable[[l
                 for name, values in new.items():
                     columns[name] = values if isinstance(values, pa.Array) else pa.array(values, type=arrow[name])
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+        if done:
+            done()
+        give_back()
 
     full = f"{out_schema}, {schema}"
     from pyspark.sql.pandas.types import to_arrow_type

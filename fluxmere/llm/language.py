@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .backoff import Coder, Table, bounded_sample, gram_counts
-from .common import GROUP_CHARS, bounded_batches, groups_of
+from .common import GROUP_CHARS, bounded_batches, give_back, groups_of
 
 #: Longest context in bytes.
 ORDER = 4
@@ -110,6 +110,7 @@ def identify(documents: DataFrame, coder: Coder | None, *, text_column: str = "t
                     for k, m, p, total, x in zip(own, best.tolist(), share.tolist(), least.tolist(), raw, strict=True):
                         names[k], scores[k], rates[k] = coder.models[m], p, total / len(x)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(scores), pa.array(rates, pa.float64())], names=[*kept, "lang_pred", "score", "lang_bits"])
+        give_back()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields)
     return bounded_batches(documents).mapInArrow(run, f"{fields}, lang_pred string, score double, lang_bits double")

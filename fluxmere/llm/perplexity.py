@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .backoff import Coder, Table, bounded_sample, gram_counts
-from .common import GROUP_CHARS, bounded_batches, groups_of, written
+from .common import GROUP_CHARS, bounded_batches, give_back, groups_of, written
 
 #: Longest context in bytes.
 ORDER = 4
@@ -120,6 +120,7 @@ def score(documents: DataFrame, models: dict[str, Coder], *, text_column: str =
                 part = batch.slice(a, b - a)
                 columns = [part.column(place(c)) for c in kept]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(best, pa.string()), pa.array(list(map(len, raw)), pa.int64()), pa.array([x if np.isfinite(x) else None for x in bits.tolist()], pa.float64())], names=[*kept, "model", "n_bytes", "bits"])
+        give_back()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields if f.name in kept)
     return bounded_batches(documents).mapInArrow(run, f"{fields}, model string, n_bytes bigint, bits double")
