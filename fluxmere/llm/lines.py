@@ -115,10 +115,12 @@ def _looked_up(pairs: DataFrame, lines: DataFrame) -> DataFrame:
 def samples_of(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """(id, sample, long) of the lines in pairs: shingle hashes that are divisible by RATE_SHORT or, for a long line, RATE_LONG, as 31-bit numbers."""
     wide = _looked_up(pairs, lines).select("id", _wide("norm").alias("wide"), (F.length("norm") >= LONG).alias("long"))
-    hashes = wide.select("id", "wide", "long", F.explode(_places(F.col("wide"))).alias("at")).select("id", "long", _shingle(F.col("wide"), F.col("at")).alias("h"))
+    hashes = wide.select("id", "wide", "long", F.explode(_places(F.col("wide"))).alias("at")).select("id", "long", "at", _shingle(F.col("wide"), F.col("at")).alias("h"))
     rate = F.when(F.col("long"), RATE_LONG - 1).otherwise(RATE_SHORT - 1).cast("bigint")
     taken = F.when(F.col("h").bitwiseAND(rate) == 0, F.col("h").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
-    return hashes.groupBy("id").agg(F.collect_set(taken).alias("sample"), F.max("long").alias("long"))
+    # What isn't taken goes before it is gathered, but for a row of each line, whose sample may be empty.
+    kept = hashes.select("id", "long", "at", taken.alias("taken")).where("taken is not null or at = 0")
+    return kept.groupBy("id").agg(F.collect_set("taken").alias("sample"), F.max("long").alias("long"))
 
 
 def verified(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
