@@ -6,9 +6,11 @@ as the smallest shingle hash after flipping a fixed pattern of bits, are joined
 a band's value are candidates. A candidate link counts if the Jaccard similarity of the two
 sets, computed from the texts, reaches the threshold. Of each connected component of links the line that comes first stays.
 
-In a band's bucket every line is compared with HUBS members, chosen by hashes, and so it is in the finer buckets of
-lines that share two bands. A bucket of a few lines is compared whole that way, and a large group of near copies costs a
-few comparisons a line, never one for each pair; a link is missed only if its lines meet no hub that both are like. Every
+A bucket of HUBS lines or fewer is compared whole. In a larger one every line is compared with HUBS members first, chosen by
+hashes, and so it is in the finer buckets of lines that share two bands; a large group of near copies mostly becomes
+one component that way, at a few comparisons a line. Lines of a larger bucket that is then still in more than one component
+go on to blocks of lines that share one of their rarest shingles: lines that reach the threshold share one, so comparing each block's
+lines with those of its other components leaves no pair of a bucket over. Every
 line is sent by its hash, never by its document, equal lines are counted before they are sent, and Spark splits what
 joins on a frequent one.
 """
@@ -30,7 +32,7 @@ BANDS, ROWS = 6, 2
 THRESHOLD = 0.8
 #: Before all shingles of two lines are compared, one in so many is, by its hash; lines of LONG characters or more take fewer.
 LONG, RATE_SHORT, RATE_LONG = 250, 2, 8
-#: Members of a bucket that all others are compared with.
+#: Members of a bucket that all others are compared with first.
 HUBS = 12
 #: What line ends leave at a line's ends.
 BLANKS = " \t\r\f\x0b"
@@ -150,16 +152,17 @@ def verified(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
 
 
 def _shared(held: DataFrame) -> DataFrame:
-    """The rows (key, id) of every key that two or more have; keys are counted where they are read, before they are sent."""
-    keys = released(written(held.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")))
-    return keys.hint("shuffle_hash").join(held, "key").select("key", "id")
+    """The rows (key, id) of every key that two or more have, with their number n; keys are counted where they are read, before they are sent."""
+    keys = released(written(held.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")))
+    return keys.hint("shuffle_hash").join(held, "key").select("key", "id", "n")
 
 
 def _stars(held: DataFrame) -> DataFrame:
-    """(key, id, hubs): the rows (key, id) with HUBS members of their bucket, chosen by hashes; nearly all members of a small one."""
+    """(key, id, hubs): the rows (key, id, n) with all members of a bucket of up to HUBS, or with HUBS of a larger one, chosen by hashes."""
     picks = [F.min("id"), F.max("id"), *(F.min_by("id", F.xxhash64("id", F.lit(k))) for k in range(HUBS - 2))]
-    hubs = written(held.groupBy("key").agg(F.array_distinct(F.array(*picks)).alias("hubs")))
-    return hubs.hint("shuffle_hash").join(held, "key").select("key", "id", "hubs")
+    small = held.where(F.col("n") <= HUBS).groupBy("key").agg(F.collect_list("id").alias("hubs"))
+    large = held.where(F.col("n") > HUBS).groupBy("key").agg(F.array_distinct(F.array(*picks)).alias("hubs"))
+    return written(small.union(large)).hint("shuffle_hash").join(held, "key").select("key", "id", "hubs")
 
 
 def _spokes(stars: DataFrame) -> DataFrame:
@@ -168,6 +171,46 @@ def _spokes(stars: DataFrame) -> DataFrame:
     return pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
 
 
+def _left_over(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """(id, component) of the lines in buckets of over HUBS that aren't one component; a line that links to none is its own."""
+    own = written(shared.where(F.col("n") > HUBS).join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")))
+    mixed = own.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("key")
+    return own.join(mixed, "key").select("id", "component").distinct()
+
+
+def _prefixes(left: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
+    """(h, id, component, size, at): the rarest shingles of the lines (id, component), as many as leave too few others to reach the threshold.
+
+    at is a shingle's place in the line's order from rare to frequent, which is the same order for all lines; ones that no other line has are left out.
+    """
+    held = left.hint("shuffle_hash").join(lines.select("id", "norm"), "id").select("id", "component", _shingles("norm").alias("all"))
+    rows = written(held.select("id", "component", F.size("all").alias("size"), F.explode("all").alias("h")))
+    often = rows.groupBy("h").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    by_line = rows.join(often, "h").groupBy("id", "component", "size").agg(F.array_sort(F.collect_list(F.struct("often", "h"))).alias("order"))
+    ranked = by_line.select("id", "component", "size", (F.col("size") - F.size("order")).alias("rare"), F.posexplode("order").alias("k", "one"))
+    at = (F.col("rare") + F.col("k")).alias("at")
+    # A little less than the product, whose rounding must not shorten a prefix.
+    return ranked.select(F.col("one.h").alias("h"), "id", "component", "size", at).where(F.col("at") <= F.col("size") - F.ceil(threshold * F.col("size") - 1e-6))
+
+
+def block_pairs(left: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
+    """(a, b), a < b: every two of the lines (id, component) in different components that may reach the threshold.
+
+    Of two lines that reach it the first shingle in both prefixes is the first that they share, so sizes and its places bound what they share.
+    """
+    rows = written(_prefixes(left, lines, threshold))
+    counts = rows.groupBy("h", "component").agg(F.count(F.lit(1)).alias("n"))
+    # Lines of a block's largest component meet the others only, so that near copies already linked aren't paired.
+    blocks = written(counts.groupBy("h").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("components")).where("components > 1").select("h", "main"))
+    held = written(rows.join(blocks, "h"))
+    sides = [held.select("h", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "component", "size", "at", "main"))) for x in "ab"]
+    shared = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b"))
+    enough = shared >= threshold / (1 + threshold) * (F.col("size_a") + F.col("size_b")) - 1e-6
+    once = (F.col("component_b") == F.col("main_b")) | (F.col("id_a") < F.col("id_b"))
+    met = sides[0].where("component_a <> main_a").join(sides[1], "h").where((F.col("component_a") != F.col("component_b")) & once & enough)
+    return met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
+
+
 def line_components(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(id, component) of the lines (id, norm) that link to others."""
     keys = written(band_keys(lines))
@@ -178,7 +221,13 @@ def line_components(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     twos = first.select("id", F.explode(F.slice("keys", F.col("at") + 2, F.size("keys"))).alias("two"), "one").select("id", F.xxhash64("one", "two").alias("key"))
     fine = written(_shared(twos))
     pairs = _spokes(_stars(shared).union(_stars(fine))).distinct()
-    return components(verified(released(written(pairs)), lines, threshold))
+    links = written(verified(released(written(pairs)), lines, threshold))
+    found = written(components(links))
+    left = written(_left_over(shared, found))
+    if left.isEmpty():
+        return found
+    more = written(verified(released(written(block_pairs(left, lines, threshold))), lines, threshold))
+    return found if more.isEmpty() else components(links.union(more))
 
 
 def removed_lines(documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -73,6 +73,21 @@ def test_like_brute_force(spark):
     assert gone <= want
 
 
+def test_families_of_one_template(spark):
+    """Many lines of one template share buckets; the near copies among them are few and far between."""
+    rng = random.Random(11)
+    template = rng.choices(WORDS, k=75)
+    rows = []
+    for k in range(300):
+        own = template + rng.choices(WORDS, k=18)
+        near = list(own)
+        near[rng.randrange(75, 93)] = "other"
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(near))]
+    found = line_report(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5))
+    # Lines of different families reach 0.7 at most.
+    assert {(r.doc_id, k) for r in found.collect() for k in r.removed_lines} == {(2 * k + 1, 0) for k in range(300)}
+
+
 def test_edges(spark):
     rows = [(2, "Same line here\nunique one\n\nsame line here  "), (1, "same LINE here"), (None, "same line here\nlast words"), (3, None), (4, ""), (5, "\n\n"), (6, "ß"), (7, "ß\nSS"), (7, "ß\nSS"), (8, "x" * 30_000), (9, "x" * 30_000)]
     df = spark.createDataFrame([(*r, "a", 1, "c") for r in rows], "doc_id bigint, text string, source string, removed int, in_0 string")
