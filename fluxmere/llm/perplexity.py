@@ -23,8 +23,10 @@ from .common import GROUP_CHARS, bounded_batches, give_back, groups_of, written
 ORDER = 4
 #: Trusted texts of every language that the model is fitted on, at most (about).
 SAMPLE = 1000
-#: A document goes if its perplexity is over this quantile of unseen trusted texts, times MARGIN.
-QUANTILE, MARGIN = 0.99, 1.6
+#: A document goes if its perplexity is over this quantile of unseen trusted texts of its language.
+QUANTILE = 0.99
+#: Fewer unseen texts than 1 / (1 - quantile) have none beyond it: their largest, which tells too little, is taken times FEW.
+FEW = 1.6
 #: Bytes of average trusted text that each document is taken to have besides its own: a few words alone tell little.
 PRIOR = 16
 
@@ -131,7 +133,7 @@ def unseen(id_column: str):
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def classify(documents: DataFrame, trusted: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", order: int = ORDER, sample: int = SAMPLE, quantile: float = QUANTILE, margin: float = MARGIN, prior: int = PRIOR) -> DataFrame:
+def classify(documents: DataFrame, trusted: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", order: int = ORDER, sample: int = SAMPLE, quantile: float = QUANTILE, prior: int = PRIOR) -> DataFrame:
     """A row for each row of documents: id, lang, model, n_bytes, perplexity (a byte), judged (the same with the prior), threshold and kept.
 
     trusted: one column, the ids of trusted documents. Defined results: a null or empty text has a null perplexity
@@ -157,6 +159,7 @@ def classify(documents: DataFrame, trusted: DataFrame, *, id_column: str = "doc_
         smooth = (F.col("bits") + prior * F.col("usual")) / (F.col("n_bytes") + prior)
         return df.join(usual, "model", "left").withColumn("judged", F.pow(F.lit(2.0), smooth))
 
-    limits = written(judged(seen).groupBy("model").agg((F.percentile_approx("judged", quantile, 10_000) * margin).alias("threshold")))
+    few = F.when(F.count("judged") * (1 - quantile) < 1 - 1e-9, F.lit(FEW)).otherwise(F.lit(1.0))
+    limits = written(judged(seen).groupBy("model").agg((F.percentile_approx("judged", quantile, 10_000) * few).alias("threshold")))
     kept = (F.col("n_bytes") > 0) & F.coalesce(F.col("judged") <= F.col("threshold"), F.lit(True))
     return judged(scored).join(limits, "model", "left").select(F.col("id").alias(id_column), F.col("lang").alias(lang_column), "model", "n_bytes", "perplexity", "judged", "threshold", kept.alias("kept"))

@@ -197,6 +197,22 @@ def test_quality(spark):
     assert all(r.kept == bool(r.n_bytes) for r in none)
 
 
+def test_quality_by_the_quantile_of_unseen_texts(spark):
+    """With 100 unseen trusted texts or more the quantile alone decides: texts with one letter in twenty changed go."""
+    from fluxmere.llm.perplexity import unseen
+
+    rng = random.Random(8)
+    clean = [(k, babble("aa", rng, 60), "aa", 1) for k in range(700)]
+    low = [(k, "".join(rng.choice("etaoin") if rng.random() < 0.05 else c for c in babble("aa", rng, 60)), "aa", 0) for k in range(700, 740)]
+    df = spark.createDataFrame([*clean, *low], "doc_id bigint, text string, lang string, quality int")
+    got = classify(df.drop("quality"), df.where("quality = 1").select("doc_id")).withColumn("unseen", unseen("doc_id")).collect()
+    held = [r for r in got if r.doc_id < 700 and r.unseen]
+    assert len(held) >= 100 and got[0].threshold <= max(r.judged for r in held)
+    assert sum(not r.kept for r in held) <= 0.01 * len(held) + 1
+    assert not any(r.kept for r in got if r.doc_id >= 700)
+    assert min(r.judged for r in got if r.doc_id >= 700) < 1.6 * got[0].threshold
+
+
 def test_kneser_ney_sums_to_one(spark):
     from fluxmere.llm.backoff import gram_counts
     from fluxmere.llm.perplexity import coders, kneser_ney
