@@ -2,8 +2,8 @@
 
 Counts of the trusted texts live in a table sharded by hash. Continuation counts, context totals and
 discounts are aggregates of it, and the probability of every known n-gram comes from joins of n-grams with
-their contexts and with the n-grams one byte shorter. What comes out, bounded by the training sample,
-scores every document where it is read. A document's perplexity is compared with a quantile of
+their contexts and with the n-grams one byte shorter. What comes out is
+gathered by the driver and broadcast, and scores every document where it is read; it grows with the distinct n-grams of all trusted texts. A document's perplexity is compared with a quantile of
 the trusted texts of its language that the model has not seen.
 """
 
@@ -16,13 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .backoff import Coder, Table, bounded_sample, gram_counts
+from .backoff import Coder, Table, gram_counts
 from .common import GROUP_CHARS, bounded_batches, give_back, groups_of, written
 
 #: Longest context in bytes.
 ORDER = 4
-#: Trusted texts of every language that the model is fitted on, at most (about).
-SAMPLE = 1000
 #: A document goes if its perplexity is over this quantile of unseen trusted texts of its language.
 QUANTILE = 0.99
 #: Fewer unseen texts than 1 / (1 - quantile) have none beyond it: their largest, which tells too little, is taken times FEW.
@@ -133,7 +131,7 @@ def unseen(id_column: str):
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def classify(documents: DataFrame, trusted: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", order: int = ORDER, sample: int = SAMPLE, quantile: float = QUANTILE, prior: int = PRIOR) -> DataFrame:
+def classify(documents: DataFrame, trusted: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", order: int = ORDER, quantile: float = QUANTILE, prior: int = PRIOR) -> DataFrame:
     """A row for each row of documents: id, lang, model, n_bytes, perplexity (a byte), judged (the same with the prior), threshold and kept.
 
     trusted: one column, the ids of trusted documents. Defined results: a null or empty text has a null perplexity
@@ -142,10 +140,7 @@ def classify(documents: DataFrame, trusted: DataFrame, *, id_column: str = "doc_
     """
     ids = written(trusted.toDF("trusted_id").where("trusted_id is not null").distinct())
     rows = documents.select(F.col(id_column).alias("id"), F.col(lang_column).alias("lang"), F.col(text_column).alias("text"))
-    named = rows.where(~unseen("id") & F.col("lang").isNotNull()).select("id", F.col("lang").alias("model")).join(ids, F.col("id") == F.col("trusted_id"), "left_semi")
-    # Chosen by id, so that texts are read for the sample only and never shuffled.
-    chosen = written(bounded_sample(named, "model", "id", sample).distinct())
-    fit = rows.where(F.col("text") != "").join(chosen, (rows["id"] == chosen["id"]) & (rows["lang"] == chosen["model"])).select("model", "text")
+    fit = rows.where(~unseen("id") & F.col("lang").isNotNull() & (F.col("text") != "")).join(ids, F.col("id") == F.col("trusted_id"), "left_semi").select(F.col("lang").alias("model"), "text")
     counts = written(gram_counts(fit, order))
     grams, contexts = kneser_ney(counts, order)
     models = coders(grams.toArrow(), contexts.toArrow(), order)

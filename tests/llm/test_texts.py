@@ -213,6 +213,16 @@ def test_quality_by_the_quantile_of_unseen_texts(spark):
     assert min(r.judged for r in got if r.doc_id >= 700) < 1.6 * got[0].threshold
 
 
+def test_quality_counts_all_trusted_texts(spark, monkeypatch):
+    from fluxmere.llm import perplexity
+
+    rows, counted = [], perplexity.gram_counts
+    monkeypatch.setattr(perplexity, "gram_counts", lambda fit, order: rows.append(fit.count()) or counted(fit, order))
+    df = spark.range(2000).selectExpr("id AS doc_id", "concat('text number ', id) AS text", "'aa' AS lang")
+    assert classify(df, df.select("doc_id")).count() == 2000
+    assert rows == [df.where(~perplexity.unseen("doc_id")).count()]
+
+
 def test_kneser_ney_sums_to_one(spark):
     from fluxmere.llm.backoff import gram_counts
     from fluxmere.llm.perplexity import coders, kneser_ney
