@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -164,7 +165,13 @@ class Engine:
         """A statement's answer as a dictionary, errors too; data holds the first rows where there is no INTO."""
         try:
             result = self.execute(sql)
-            data = None if result.result_target else [list(r) for r in result.df.limit(limit).collect()]
+            data = None
+            if not result.result_target:
+                # One row more than is shown tells whether there is anything left to count.
+                data = [list(r) for r in result.df.limit(limit + 1).collect()]
+                if len(data) <= limit:
+                    result._rows = len(data)
+                data = data[:limit]
             return {"status": "completed", "rows": result.rows, "result_row_count": result.rows, "result_target": result.result_target, "columns": result.df.columns, "data": data}
         except EngineError as e:
             return {"status": "failed", "error": e.message, "http_status": e.status, "error_code": e.code, "error_stage": e.stage}
@@ -191,14 +198,20 @@ class Engine:
         """The body as a DataFrame; for an operator over several sources a list of them."""
         if query.operators and len(query.sources) > 1:
             return [frames[s] for s in query.sources]
-        views = {}
-        for k, (name, df) in enumerate(frames.items()):
-            views[name] = f"_channel_{id(self)}_{k}"
-            df.createOrReplaceTempView(views[name])
+        # Names of this statement alone: others run beside it, over other channels.
+        own = uuid.uuid4().hex
+        views = {name: f"_channel_{own}_{k}" for k, name in enumerate(frames)}
         sql = named_channels(query, views.__getitem__)
         if query.granularity:
             sql = granular(sql, query.granularity, self.time_column)
-        return self.spark.sql(time_ranges(sql))
+        try:
+            for name, view in views.items():
+                frames[name].createOrReplaceTempView(view)
+            # Names are resolved here; the plan doesn't need the views any more.
+            return self.spark.sql(time_ranges(sql))
+        finally:
+            for view in views.values():
+                self.spark.catalog.dropTempView(view)
 
     def _step(self, run, df: Any, params: dict[str, str]) -> DataFrame:
         try:

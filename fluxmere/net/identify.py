@@ -23,10 +23,10 @@ def protocol_of(p: Packet, data: bytes, model: Model) -> int:
     top = p.top
     if level := LEVEL.get(top):
         payload = data[p.payload : p.end]
-        for ports, pattern, spec, protocol in model.by_payload[level]:
+        for ports, holds, spec, protocol in model.by_payload[level]:
             if ports and p.dst_port not in ports and p.src_port not in ports:
                 continue
-            if pattern is not None and not pattern.match(payload):
+            if holds is not None and not holds(payload):
                 continue
             if spec is not None:
                 number, offset, width = spec

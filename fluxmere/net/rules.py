@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -10,6 +11,7 @@ import yaml
 from pyspark.sql import DataFrame, SparkSession
 
 from .layers import NAMES, SCTP, TCP, UDP
+from .payloads import READERS
 
 
 @dataclass(frozen=True)
@@ -17,6 +19,7 @@ class Rule:
     """All conditions that are given must hold. level: tcp, udp, sctp, l4 (any of them), l3 or l2.
 
     enumerate: (bytes at an offset of the payload as a number, offset, width); number None stands for any.
+    reader: the name of a function of payloads.
     """
 
     protocol: int
@@ -24,6 +27,11 @@ class Rule:
     values: frozenset[int] = frozenset()
     pattern: bytes | None = None
     enumerate: tuple[int | None, int, int] | None = None
+    reader: str | None = None
+
+    @property
+    def looks_inside(self) -> bool:
+        return self.pattern is not None or self.enumerate is not None or self.reader is not None
 
 
 @dataclass(frozen=True)
@@ -95,19 +103,18 @@ BY_NUMBER = (
 )
 #: NetBIOS over TCP and its parts; fixed values.
 NETBIOS = (("NETBIOS", 1059, "NetBIOS"), ("NETBIOS-NameService", 1060, "NetBIOS name service", ("l4", 137)), ("NETBIOS-DatagramService", 1061, "NetBIOS datagram service", ("udp", 138)), ("NETBIOS-SessionService", 1062, "NetBIOS session service", ("tcp", 139)))
-#: Protocols told by how their payload starts: name, id, description, level, ports, pattern; fixed values of their standards.
-BY_PATTERN = (
-    ("S7COMM", 1052, "Siemens S7 communication", "tcp", (102,), rb"\x03\x00..\x02\xf0\x80\x32[\x01\x02\x03\x07]"),
-    ("MMS", 1053, "Manufacturing Message Specification", "tcp", (102,), rb"\x03\x00..\x02\xf0\x80\x01\x00\x01\x00"),
-    ("DNP3", 1055, "Distributed Network Protocol 3", "tcp", (20000,), rb"\x05\x64.{8}"),
-    ("IPMI", 1068, "Intelligent Platform Management Interface", "udp", (623,), rb"[\x00-\x10]\x00.[\x07\x87]"),
-    ("HTTP", 2000, "Hypertext Transfer Protocol", "l4", (), rb"(?:(?:GET|POST|OPTIONS|HEAD|PUT|DELETE|TRACE|CONNECT|PATCH)\s+\S+\s+HTTP/[0-3]\.[0-9]\s*\r\n|HTTP/[0-3]\.[0-9]\s+[1-5][0-9]{2})"),
-    ("TLS", 2001, "Transport Layer Security", "tcp", (), rb"(?:\x14\x03[\x01-\x04]\x00\x01\x01|\x15\x03[\x01-\x04]..|\x16\x03[\x01-\x04]..[\x00-\x02\x0b-\x10\x14].{3}|\x17\x03[\x01-\x04]..)"),
-    ("MQ", 2002, "WebSphere MQ", "tcp", (), rb"TSH .{4}[\x01\x02]"),
-    ("RTCP", 2003, "Real-time Transport Control Protocol", "udp", (), rb"[\x80-\xbf][\xc8-\xd2]."),
-    ("RTP", 2004, "Real-time Transport Protocol", "udp", (), rb"[\x80-\xbf](?:[\x00-\x13\x19\x1a\x1c\x1f-\x22\x48-\x4c\x60-\x7f])."),
+#: Protocols told by fields of their payload: name, id, description, level, ports, reader; fixed numbers, see payloads.
+BY_PAYLOAD = (
+    ("S7COMM", 1052, "Siemens S7 communication", "tcp", (102,), "s7comm"),
+    ("MMS", 1053, "Manufacturing Message Specification", "tcp", (102,), "mms"),
+    ("DNP3", 1055, "Distributed Network Protocol 3", "tcp", (20000,), "dnp3"),
+    ("IPMI", 1068, "Intelligent Platform Management Interface", "udp", (623,), "ipmi"),
+    ("HTTP", 2000, "Hypertext Transfer Protocol", "l4", (), "http"),
+    ("TLS", 2001, "Transport Layer Security", "tcp", (), "tls"),
+    ("MQ", 2002, "WebSphere MQ", "tcp", (), "mq"),
+    ("RTCP", 2003, "Real-time Transport Control Protocol", "udp", (), "rtcp"),
+    ("RTP", 2004, "Real-time Transport Protocol", "udp", (), "rtp"),
 )
-FTP_PATTERN = rb"(?:USER|PASS|QUIT|RETR|STOR|LIST|PASV|PORT|TYPE|CWD|PWD|SYST|FEAT|NLST|ABOR|ALLO|APPE|CDUP|DELE|EPRT|EPSV|MDTM|MKD|NOOP|OPTS|REIN|REST|RMD|RNFR|RNTO|SITE|SIZE|STAT)(?: \S+)?\r\n\Z"
 
 
 def builtin() -> list[Protocol]:
@@ -117,9 +124,10 @@ def builtin() -> list[Protocol]:
         out.append(Protocol(ident, name, text, ident, tuple(Rule(ident, level, frozenset(v)) for level, *v in found)))
     for name, ident, text, *found in NETBIOS:
         out.append(Protocol(ident, name, text, 1059, tuple(Rule(ident, level, frozenset(v)) for level, *v in found)))
-    for name, ident, text, level, ports, pattern in BY_PATTERN:
-        out.append(Protocol(ident, name, text, ident, (Rule(ident, level, frozenset(ports), pattern),)))
-    return [p if p.name != "FTP" else Protocol(p.id, p.name, p.description, p.parent, (*p.rules, Rule(p.id, "l4", frozenset(), FTP_PATTERN))) for p in out]
+    for name, ident, text, level, ports, reader in BY_PAYLOAD:
+        out.append(Protocol(ident, name, text, ident, (Rule(ident, level, frozenset(ports), reader=reader),)))
+    # FTP on any port, by its commands.
+    return [p if p.name != "FTP" else Protocol(p.id, p.name, p.description, p.parent, (*p.rules, Rule(p.id, "l4", reader="ftp"))) for p in out]
 
 
 def from_yaml(text: str) -> list[Protocol]:
@@ -157,17 +165,17 @@ class Model:
         """Level to number to protocol, for rules by number alone."""
         out: dict[str, dict[int, int]] = {"l2": {}, "l3": {}, "tcp": {}, "udp": {}, "sctp": {}}
         for r in self._rules():
-            if r.pattern is None and r.enumerate is None:
+            if not r.looks_inside:
                 for level in ("tcp", "udp", "sctp") if r.level == "l4" else (r.level,):
                     out[level].update(dict.fromkeys(r.values, r.protocol))
         return out
 
     @cached_property
-    def by_payload(self) -> dict[str, list[tuple[frozenset[int], re.Pattern | None, tuple | None, int]]]:
-        """Level to rules that look at the payload: those that name ports first."""
+    def by_payload(self) -> dict[str, list[tuple[frozenset[int], Callable | None, tuple | None, int]]]:
+        """Level to rules that look at the payload, as (ports, test of the payload, enumerate, protocol): those that name ports first."""
         out: dict[str, list] = {"tcp": [], "udp": [], "sctp": []}
-        for r in sorted((r for r in self._rules() if r.pattern is not None or r.enumerate is not None), key=lambda r: not r.values):
-            made = re.compile(r.pattern, re.DOTALL) if r.pattern is not None else None
+        for r in sorted((r for r in self._rules() if r.looks_inside), key=lambda r: not r.values):
+            made = re.compile(r.pattern, re.DOTALL).match if r.pattern is not None else READERS[r.reader] if r.reader else None
             for level in ("tcp", "udp", "sctp") if r.level == "l4" else (r.level,):
                 if level in out:
                     out[level].append((r.values, made, r.enumerate, r.protocol))

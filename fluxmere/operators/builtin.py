@@ -5,11 +5,11 @@ from __future__ import annotations
 import time
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from ..errors import INTERNAL, EngineError
+from ..session import shared_folder
 from ..sources.registry import schemas_match
 from .base import Operator, flag, is_numeric, require
 
@@ -40,8 +40,9 @@ def concat(frames: list[DataFrame], params: dict[str, str]) -> DataFrame:
 def hstack(frames: list[DataFrame], params: dict[str, str]) -> DataFrame:
     """Columns side by side, row by row in the order of `key` (a column of every input), else in the inputs' own order.
 
-    Rows are numbered partition by partition from the counts of the partitions before, so nothing is
-    gathered in one place, and meet by their number. Columns of the same name get the input's number appended.
+    Rows are numbered partition by partition from the counts of the partitions before, in the JVM, so nothing is
+    gathered in one place, and meet by their number. The inputs' own order is that of their scans: it is only defined where
+    these read the same files in the same way each time, so tables that matter should name a key. Columns of the same name get the input's number appended.
     """
     if len(frames) < 2:
         raise EngineError("hstack requires at least 2 inputs", INTERNAL)
@@ -65,9 +66,19 @@ def hstack(frames: list[DataFrame], params: dict[str, str]) -> DataFrame:
 
 
 def numbered(df: DataFrame, name: str) -> DataFrame:
-    """df with a column that counts its rows from 0, in their order."""
-    schema = StructType([*df.schema.fields, StructField(name, LongType(), False)])
-    return df.sparkSession.createDataFrame(df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), schema)
+    """df with a column that counts its rows from 0, in their order: without a sort that of the scan.
+
+    The rows are checkpointed with their place in their partition, so a lost executor can't number them anew; the
+    partitions' sizes, a row each, give where each of them starts.
+    """
+    shared_folder(df.sparkSession)
+    kept = df.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}).checkpoint()
+    sizes = kept.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
+    before = F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_start"))
+    # The low bits of the id are the place in the partition.
+    place = F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return kept.join(F.broadcast(starts), "_part").select(*(F.col(f"`{c}`") for c in df.columns), place.alias(name))  # a row for each partition
 
 
 def row_count(frames: list[DataFrame], params: dict[str, str]) -> DataFrame:

@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
 from ..streaming import StreamRunner, session, sliding, tumbling
 from .catalog import query
 
 
 def _streamed(spark: SparkSession, sf_dir: str, make, mode: str = "complete") -> DataFrame:
     """make(stream) run to the end of the events, in a memory table of its own."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+    root = shared_folder(spark)
     name = f"stream_{uuid.uuid4().hex}"
     # A stream's files must be in a folder of their own.
     path = f"{root}/{name}-files"

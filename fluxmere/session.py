@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
+from .errors import INTERNAL, EngineError
+
 
 def session(app: str = "fluxmere", master: str | None = None, **conf: str) -> SparkSession:
     """Adaptive execution splits skewed joins and merges small partitions; times are UTC. conf names settings with _ for dots."""
@@ -21,3 +25,17 @@ def session(app: str = "fluxmere", master: str | None = None, **conf: str) -> Sp
     for k, v in (settings | {k.replace("_", "."): v for k, v in conf.items()}).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, spark.checkpoint.dir; on one machine, where it isn't set, a temporary one for the session."""
+    context = spark.sparkContext
+    held = context._jsc.sc().getCheckpointDir()
+    root = held.get() if held.isDefined() else spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not context.master.startswith("local"):
+            raise EngineError("spark.checkpoint.dir must name a folder that driver and executors share", INTERNAL)
+        root = f"file://{tempfile.mkdtemp(prefix='fluxmere-')}"
+    if not held.isDefined():
+        context.setCheckpointDir(root)
+    return root.rstrip("/")

@@ -49,18 +49,34 @@ def named_channels(query: ExtendedQuery, view_of: Callable[[str], str]) -> str:
 
 
 def granular(sql: str, granularity: int, time_column: str) -> str:
-    """GROUP BY a GRANULARITY n groups by a and n-second buckets of the time column too.
+    """GROUP BY a GRANULARITY n groups by a and n-second buckets of the time column too, in every branch of a union.
 
     The bucket's start comes out as time_bucket, before the selected columns.
     """
     toks = tokens(sql)
-    select = next(t for t in toks if t.key == "SELECT" and t.depth == 0)
-    bucket = f"window({time_column}, '{granularity} seconds').start"
+    cuts = [t for t in toks if t.depth == 0 and t.key in ("UNION", "INTERSECT", "EXCEPT", "MINUS")]
+    out, at = [], 0
+    for t in cuts:
+        out += [_granular_branch(sql[at : t.start], granularity, time_column), " "]
+        after = next((x for x in toks if x.start >= t.end and x.depth == 0), None)
+        at = after.end if after is not None and after.key in ("ALL", "DISTINCT") else t.end
+        out.append(sql[t.start : at] + " ")
+    return "".join([*out, _granular_branch(sql[at:], granularity, time_column)]).strip()
+
+
+def _granular_branch(sql: str, granularity: int, time_column: str) -> str:
+    toks = tokens(sql)
+    place = next(k for k, t in enumerate(toks) if t.key == "SELECT" and t.depth == 0)
+    head = toks[place + 1] if place + 1 < len(toks) and toks[place + 1].key in ("DISTINCT", "ALL") else toks[place]
+    window = f"window({time_column}, '{granularity} seconds')"
     group = next((k for k, t in enumerate(toks) if t.key == "GROUP" and t.depth == 0), None)
-    if group is None:
+    if group is None and head.key == "DISTINCT":
+        # Distinct rows of each bucket: there is nothing to group.
+        grouped = sql
+    elif group is None:
         before = next((t.start for t in toks if t.depth == 0 and t.key in ("HAVING", "ORDER", "LIMIT")), len(sql))
-        grouped = f"{sql[:before].rstrip()} GROUP BY window({time_column}, '{granularity} seconds') {sql[before:]}"
+        grouped = f"{sql[:before].rstrip()} GROUP BY {window} {sql[before:]}"
     else:
         by = toks[group + 1].end
-        grouped = f"{sql[:by]} window({time_column}, '{granularity} seconds'),{sql[by:]}"
-    return f"{grouped[: select.end]} {bucket} AS time_bucket,{grouped[select.end :]}".strip()
+        grouped = f"{sql[:by]} {window},{sql[by:]}"
+    return f"{grouped[: head.end]} {window}.start AS time_bucket,{grouped[head.end :]}".strip()

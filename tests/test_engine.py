@@ -265,3 +265,29 @@ def test_exploration(spark):
     assert engine.execute("SELECT x, z FROM t USING explore.pca").df.first().variance > 0.99
     assert engine.execute("SELECT x, z FROM t USING stats.summary").df.count() == 5
     assert engine.execute("SELECT x FROM t USING statistic.quantiles WITH probabilities=0.5").df.first().value in (29.0, 30.0)
+
+
+def test_statements_at_once(spark):
+    """Eight threads, each over a channel of its own: no statement may see another's."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    made = Engine(spark)
+    for k in range(8):
+        made.table(f"t.c{k}", spark.range(k, k + 1).toDF("n"))
+
+    def ask(k):
+        return [made.execute(f"SELECT n FROM t.c{k}").df.first().n for _ in range(12)]
+
+    with ThreadPoolExecutor(8) as pool:
+        assert list(pool.map(ask, range(8))) == [[k] * 12 for k in range(8)]
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("_channel_")]
+
+
+def test_granularity_of_distinct_rows_and_unions(spark):
+    from datetime import datetime
+
+    made = Engine(spark)
+    at = [datetime(2024, 1, 1, 0, m) for m in (0, 0, 1)]
+    made.table("t.e", spark.createDataFrame([(x, "a") for x in at], "ts timestamp, k string"))
+    assert made.execute("SELECT DISTINCT k FROM t.e GRANULARITY 60").df.count() == 2
+    assert made.execute("SELECT k, count(*) AS n FROM t.e GROUP BY k UNION ALL SELECT k, max(1) AS n FROM t.e GROUP BY k GRANULARITY 60").df.count() == 4
