@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import gc
@@ -35,9 +36,62 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/tables-{uuid.uuid4().hex}"
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared store."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+#: Folders that results still read; they go when the program ends.
+_LEFT: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _tidy() -> None:
+    for spark, path in _LEFT:
+        with contextlib.suppress(Exception):  # the session may have ended already
+            delete(spark, path)
+
+
+class Scratch:
+    """Tables of one operator's run: written in the shared folder, all removed when it ends."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.held: list[tuple[DataFrame | None, str]] = []
+
+    def folder(self) -> str:
+        self.held.append((None, shared_dir(self.spark)))
+        return self.held[-1][1]
+
+    def written(self, df: DataFrame) -> DataFrame:
+        """df as a Parquet table: cuts lineage and survives a lost executor."""
+        path = shared_dir(self.spark)
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.held.append((out, path))
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Remove tables that nothing reads any more before the run ends."""
+        gone = [path for held, path in self.held if any(held is t for t in tables)]
+        for path in gone:
+            delete(self.spark, path)
+        self.held = [x for x in self.held if x[1] not in gone]
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for _table, path in self.held:
+            delete(self.spark, path)
+        self.held = []
+
+
 def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage and survives a lost executor."""
+    """df as a Parquet table in the shared folder that stays until the program ends, for results that go on reading it."""
     path = shared_dir(df.sparkSession)
+    _LEFT.append((df.sparkSession, path))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -48,9 +102,8 @@ def released(df: DataFrame) -> DataFrame:
     Spark deletes them once the driver's JVM has found that nothing refers to them, which on an idle heap can take half an hour.
     """
     gc.collect()
-    for _ in range(2):
-        df.sparkSession.sparkContext._jvm.System.gc()
-        time.sleep(0.1)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    time.sleep(0.1)
     return df
 
 

@@ -3,16 +3,15 @@
 Lines are compared in lower case without blanks at either end. Equal lines are first brought down to one,
 with the place of the first. A line is the set of its character shingles; MinHash values of the set, taken
 as the smallest shingle hash after flipping a fixed pattern of bits, are joined to bands, and lines that share
-a band's value are candidates. A candidate link counts if the Jaccard similarity of the two
+a band's value are candidates, if enough of all their values agree. A candidate link counts if the Jaccard similarity of the two
 sets, computed from the texts, reaches the threshold. Of each connected component of links the line that comes first stays.
 
-A bucket of HUBS lines or fewer is compared whole. In a larger one every line is compared with HUBS members first, chosen by
-hashes, and so it is in the finer buckets of lines that share two bands; a large group of near copies mostly becomes
-one component that way, at a few comparisons a line. Lines of a larger bucket that is then still in more than one component
-go on to blocks of lines that share one of their rarest shingles: lines that reach the threshold share one, so comparing each block's
-lines with those of its other components leaves no pair of a bucket over. Every
-line is sent by its hash, never by its document, equal lines are counted before they are sent, and Spark splits what
-joins on a frequent one.
+A bucket of SMALL lines or fewer is compared whole. In a larger one every line is compared with HUBS members first, chosen by
+hashes; a large group of near copies mostly becomes one component that way, at a few comparisons a line. Lines of a larger
+bucket that is then still in more than one component go on to blocks of lines that share one of their rarest shingles: lines
+that reach the threshold share one, so comparing each block's lines with those of its other components leaves no pair
+of a bucket over. Every line is sent by its hash, never by its document, equal lines are counted before they are sent, and tables
+that joins look things up in are written first, so that Spark splits what joins on a frequent value.
 """
 
 from __future__ import annotations
@@ -22,44 +21,47 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import released, shared_dir, written
+from .common import Scratch, released, written
 from .components import components
 
-#: Characters of a shingle; a shorter line is one shingle.
+#: Characters of a shingle (UTF-16 units: one beyond the basic plane counts as two); a shorter line is one shingle.
 SHINGLE = 10
 #: Bands of a line and MinHash values of a band: of pairs at the threshold one in 460 is missed.
 BANDS, ROWS = 6, 2
+#: Values that must agree, of all: of pairs at the threshold one in 1,700 has fewer.
+AGREE = 5
 THRESHOLD = 0.8
 #: Before all shingles of two lines are compared, one in so many is, by its hash; lines of LONG characters or more take fewer.
 LONG, RATE_SHORT, RATE_LONG = 250, 2, 8
-#: Members of a bucket that all others are compared with first.
-HUBS = 12
+#: Largest bucket that is compared whole, and members of a larger one that all others are compared with first.
+SMALL, HUBS = 64, 4
 #: What line ends leave at a line's ends.
 BLANKS = " \t\r\f\x0b"
-BYTES = 4  # of a character in UTF-32
+UNIT = 2  # bytes of a UTF-16 unit
+#: Bits kept of each MinHash value to see whether it agrees, and values in a 64-bit number.
+LANE, LANES = 16, 4
 
 
 def lines_of(documents: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """(doc_id, doc_key, line_no from 0, norm, id): every line with a character that isn't blank; id is a hash of norm."""
-    read = documents.select(F.col(id_column).cast("bigint").alias("doc_id"), F.xxhash64(text_column).alias("doc_key"), F.posexplode(F.split(text_column, "\n")).alias("line_no", "line"))
+    read = documents.select(F.col(id_column).alias("doc_id"), F.xxhash64(text_column).alias("doc_key"), F.posexplode(F.split(text_column, "\n")).alias("line_no", "line"))
     norm = read.select("doc_id", "doc_key", "line_no", F.lower(F.btrim("line", F.lit(BLANKS))).alias("norm"))
     return norm.where("norm <> ''").withColumn("id", F.xxhash64("norm"))
 
 
 def place() -> Column:
-    """Where a line stands in the corpus, as one number: documents by id (null last), lines by number."""
-    doc = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit("9223372036854775808").cast("decimal(20,0)"))
-    return (doc * F.lit(1 << 32).cast("decimal(11,0)") + F.col("line_no")).cast("decimal(38,0)")
+    """Where a line stands in the corpus, as one value with an order: documents by id (null last), lines by number."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc"), F.col("line_no").alias("line"))
 
 
 class _Buckets:
-    """A table written in hash buckets of its id, so that joins on it move the other side only; dropped from the catalog at the end."""
+    """A table written in hash buckets of its id, so that joins on it move the other side only; dropped at the end."""
 
-    def __init__(self, df: DataFrame) -> None:
+    def __init__(self, df: DataFrame, scratch: Scratch) -> None:
         self.spark: SparkSession = df.sparkSession
         self.name = f"fluxmere_lines_{uuid.uuid4().hex}"
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        df.write.format("parquet").option("compression", "zstd").option("path", shared_dir(self.spark)).bucketBy(n, "id").saveAsTable(self.name)
+        df.write.format("parquet").option("compression", "zstd").option("path", scratch.folder()).bucketBy(n, "id").saveAsTable(self.name)
 
     def __enter__(self) -> DataFrame:
         return self.spark.table(self.name)
@@ -69,43 +71,54 @@ class _Buckets:
 
 
 def _wide(norm: str) -> Column:
-    """The line with four bytes for each character, so that any shingle is reached at once."""
-    return F.encode(F.col(norm), "UTF-32")
+    """The line with two bytes for each unit, so that any shingle is reached at once."""
+    return F.encode(F.col(norm), "UTF-16BE")
 
 
 def _places(wide: Column) -> Column:
-    return F.sequence(F.lit(0), F.greatest(F.octet_length(wide) / BYTES - SHINGLE, F.lit(0)).cast("int"))
+    """Where shingles start, in bytes from 1."""
+    return F.sequence(F.lit(1), F.greatest(F.octet_length(wide) - (SHINGLE * UNIT - 1), F.lit(1)).cast("int"), F.lit(UNIT))
 
 
 def _shingle(wide: Column, at: Column) -> Column:
-    return F.xxhash64(F.substring(wide, at * BYTES + 1, F.lit(SHINGLE * BYTES)))
+    return F.xxhash64(F.substring(wide, at, F.lit(SHINGLE * UNIT)))
 
 
-def band_keys(lines: DataFrame) -> DataFrame:
-    """(id, keys): a 64-bit key for each band of every row (id, norm)."""
+def _exploded(lines: DataFrame, *kept: str) -> DataFrame:
+    """(kept, at, h): the hash of every shingle of the rows (kept, norm), and where it starts. Rows beat arrays here: the code for them is compiled."""
+    wide = lines.select(*kept, _wide("norm").alias("wide"))
+    return wide.select(*kept, "wide", F.explode(_places(F.col("wide"))).alias("at")).select(*kept, "at", _shingle(F.col("wide"), F.col("at")).alias("h"))
+
+
+def signatures(lines: DataFrame) -> DataFrame:
+    """(id, keys, lanes): of every row (id, norm) a 64-bit key for each band, and the low bits of all MinHash values."""
     # Odd multiples of a constant whose bits are spread evenly.
     flips = [((k + 1) * 0x9E3779B97F4A7C15) % (1 << 64) - (1 << 63) for k in range(BANDS * ROWS)]
-    wide = lines.select("id", _wide("norm").alias("wide"))
-    hashes = wide.select("id", "wide", F.explode(_places(F.col("wide"))).alias("at")).select("id", _shingle(F.col("wide"), F.col("at")).alias("h"))
-    least = hashes.groupBy("id").agg(*(F.min(F.col("h").bitwiseXOR(F.lit(x))).alias(f"m{k}") for k, x in enumerate(flips)))
+    least = _exploded(lines, "id").groupBy("id").agg(*(F.min(F.col("h").bitwiseXOR(F.lit(x))).alias(f"m{k}") for k, x in enumerate(flips)))
     keys = [F.xxhash64(F.lit(b), *(F.col(f"m{b * ROWS + r}") for r in range(ROWS))) for b in range(BANDS)]
-    return least.select("id", F.array(*keys).alias("keys"))
-
-
-def _once(value: Column, use) -> Column:
-    """use(value) with value computed once: Catalyst would copy its expression to each place, even into a loop over shingles."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
+    low = [F.shiftleft(F.col(f"m{k}").bitwiseAND(F.lit((1 << LANE) - 1)), LANE * (k % LANES)) for k in range(BANDS * ROWS)]
+    lanes = []
+    for k in range(0, len(low), LANES):
+        one = low[k]
+        for x in low[k + 1 : k + LANES]:
+            one = one.bitwiseOR(x)
+        lanes.append(one.alias(f"lane_{k // LANES}"))
+    return least.select("id", F.array(*keys).alias("keys"), F.struct(*lanes).alias("lanes"))
 
-def _shingles(norm: str) -> Column:
-    return _once(_wide(norm), lambda wide: F.array_distinct(F.transform(_places(wide), lambda at: _shingle(wide, at))))
 
+def _agreeing(a: str, b: str) -> Column:
+    """How many MinHash values of two lines agree."""
+    found = F.lit(0)
+    for k in range(BANDS * ROWS):
+        lane, at = f"lane_{k // LANES}", LANE * (k % LANES)
+        differ = F.col(f"{a}.{lane}").bitwiseXOR(F.col(f"{b}.{lane}"))
+        found = found + F.when(F.shiftright(differ, at).bitwiseAND(F.lit((1 << LANE) - 1)) == 0, 1).otherwise(0)
+    return found
 
-def _jaccard(a: str, b: str) -> Column:
-    def of_sets(x: Column) -> Column:
-        return _once(F.size(F.array_intersect(x["a"], x["b"])), lambda both: both / (F.size(x["a"]) + F.size(x["b"]) - both))
 
-    return _once(F.struct(_shingles(a).alias("a"), _shingles(b).alias("b")), of_sets)
+def _hashes(norm: str) -> Column:
+    """Hashes of a line's shingles as an array. The bytes are bound to a variable: read from the row they would be copied for every shingle."""
+    return F.get(F.transform(F.array(_wide(norm)), lambda wide: F.transform(_places(wide), lambda at: _shingle(wide, at))), F.lit(0))
 
 
 def _looked_up(pairs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -116,152 +129,168 @@ def _looked_up(pairs: DataFrame, lines: DataFrame) -> DataFrame:
 
 def samples_of(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """(id, sample, long) of the lines in pairs: shingle hashes that are divisible by RATE_SHORT or, for a long line, RATE_LONG, as 31-bit numbers."""
-    wide = _looked_up(pairs, lines).select("id", _wide("norm").alias("wide"), (F.length("norm") >= LONG).alias("long"))
-    hashes = wide.select("id", "wide", "long", F.explode(_places(F.col("wide"))).alias("at")).select("id", "long", "at", _shingle(F.col("wide"), F.col("at")).alias("h"))
+    found = _looked_up(pairs, lines).select("id", "norm", (F.length("norm") >= LONG).alias("long"))
     rate = F.when(F.col("long"), RATE_LONG - 1).otherwise(RATE_SHORT - 1).cast("bigint")
     taken = F.when(F.col("h").bitwiseAND(rate) == 0, F.col("h").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
     # What isn't taken goes before it is gathered, but for a row of each line, whose sample may be empty.
-    kept = hashes.select("id", "long", "at", taken.alias("taken")).where("taken is not null or at = 0")
+    kept = _exploded(found, "id", "long").select("id", "long", "at", taken.alias("taken")).where("taken is not null or at = 1")
     return kept.groupBy("id").agg(F.collect_set("taken").alias("sample"), F.max("long").alias("long"))
 
 
-def verified(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
+def _sides(table: DataFrame, *columns: str) -> list[DataFrame]:
+    """The table once for either line of a pair."""
+    return [table.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns)) for x in "ab"]
+
+
+def verified(pairs: DataFrame, lines: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) whose lines are similar enough.
 
     Samples of their shingles, chosen by hash and so alike in both, are compared first: a pair goes if their similarity is
     over four deviations below the threshold. The pairs that are left are compared by all shingles.
     """
-    samples = written(samples_of(pairs, lines))
-    sides = [samples.select(F.col("id").alias(x), F.col("sample").alias(f"sample_{x}"), F.col("long").alias(f"long_{x}")) for x in "ab"]
-
-    def likely(s: Column) -> Column:
-        def enough(both: Column) -> Column:
-            either = F.size(s["a"]) + F.size(s["b"]) - both
-            return both >= threshold * either - 4 * F.sqrt(threshold * (1 - threshold) * either)
-
-        return _once(F.size(F.array_intersect(s["a"], s["b"])), enough)
-
+    samples = scratch.written(samples_of(pairs, lines))
+    sides = _sides(samples, "sample", "long")
     # A short line meets a long one by the hashes that both would take.
     coarse = lambda x: F.filter(f"sample_{x}", lambda h: h % RATE_LONG == 0)
-    unlike = F.col("long_a") != F.col("long_b")
-    met = F.struct(*(F.when(unlike, coarse(x)).otherwise(F.col(f"sample_{x}")).alias(x) for x in "ab"))
-    left = released(written(pairs.join(sides[0], "a").join(sides[1], "b").where(_once(met, likely)).select("a", "b")))
-    texts = written(_looked_up(left, lines))
-    sides = [texts.select(F.col("id").alias(x), F.col("norm").alias(f"norm_{x}")) for x in "ab"]
-    return left.join(sides[0], "a").join(sides[1], "b").where(_jaccard("norm_a", "norm_b") >= threshold).select("a", "b")
-
-
-def _shared(held: DataFrame) -> DataFrame:
-    """The rows (key, id) of every key that two or more have, with their number n; keys are counted where they are read, before they are sent."""
-    keys = released(written(held.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")))
-    return keys.hint("shuffle_hash").join(held, "key").select("key", "id", "n")
-
-
-def _stars(held: DataFrame) -> DataFrame:
-    """(key, id, hubs): the rows (key, id, n) with all members of a bucket of up to HUBS, or with HUBS of a larger one, chosen by hashes."""
+    both = pairs.join(sides[0], "a").join(sides[1], "b")
+    alike = both.where("long_a = long_b").select("a", "b", F.col("sample_a").alias("x"), F.col("sample_b").alias("y"))
+    unlike = both.where("long_a <> long_b").select("a", "b", coarse("a").alias("x"), coarse("b").alias("y"))
+    shared, either = F.size(F.array_intersect("x", "y")).alias("shared"), F.size(F.array_union("x", "y")).alias("either")
+    counted = scratch.written(alike.union(unlike).select("a", "b", shared, either))
+    left = scratch.written(counted.where(F.col("shared") >= threshold * F.col("either") - 4 * F.sqrt(threshold * (1 - threshold) * F.col("either"))).select("a", "b"))
+    texts = released(scratch.written(_looked_up(left, lines)))
+    sides = _sides(texts, "norm")
+    # Arrays first, sets of them in an operation of its own, and the filter on what is written: each is computed once and, but for the first, compiled.
+    arrays = left.join(sides[0], "a").join(sides[1], "b").select("a", "b", _hashes("norm_a").alias("x"), _hashes("norm_b").alias("y"))
+    compared = scratch.written(arrays.select("a", "b", shared, either))
+    scratch.drop(samples, counted, left, texts)
+    return compared.where(F.col("shared") >= threshold * F.col("either") - 1e-9).select("a", "b")
+
+
+def _pairs_of(ids: str) -> Column:
+    """All pairs (a, b) of a sorted array, as an array of structs; arrays are of bounded length."""
+    return F.flatten(F.transform(F.col(ids), lambda a, k: F.transform(F.slice(F.col(ids), k + 2, F.size(ids)), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+
+
+def candidates(found: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(a, b), a < b: the pairs to compare first, from signatures; and (key, id) of the buckets of over SMALL lines."""
+    keys = found.select("id", F.explode("keys").alias("key"))
+    # Most shared keys are those of two lines, which their ends tell.
+    counted = released(scratch.written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("a"), F.max("id").alias("b")).where("n > 1")))
+    shared = scratch.written(counted.where("n > 2").select("key", "n"))
+    held = released(scratch.written(keys.join(shared, "key").select("key", "id", "n")))
+    small = held.where(F.col("n") <= SMALL).groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    crowded = held.where(F.col("n") > SMALL)
     picks = [F.min("id"), F.max("id"), *(F.min_by("id", F.xxhash64("id", F.lit(k))) for k in range(HUBS - 2))]
-    small = held.where(F.col("n") <= HUBS).groupBy("key").agg(F.collect_list("id").alias("hubs"))
-    large = held.where(F.col("n") > HUBS).groupBy("key").agg(F.array_distinct(F.array(*picks)).alias("hubs"))
-    return written(small.union(large)).hint("shuffle_hash").join(held, "key").select("key", "id", "hubs")
-
-
-def _spokes(stars: DataFrame) -> DataFrame:
-    """(a, b), a < b: every member with the hubs of its bucket."""
-    pairs = stars.select("id", F.explode("hubs").alias("hub")).where("id <> hub")
-    return pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
-
-
-def _left_over(shared: DataFrame, found: DataFrame) -> DataFrame:
-    """(id, component) of the lines in buckets of over HUBS that aren't one component; a line that links to none is its own."""
-    own = written(shared.where(F.col("n") > HUBS).join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")))
-    mixed = own.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("key")
+    hubs = scratch.written(crowded.groupBy("key").agg(F.array_distinct(F.array(*picks)).alias("hubs")))
+    spokes = crowded.join(hubs, "key").select("id", F.explode("hubs").alias("hub")).where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
+    pairs = scratch.written(counted.where("n = 2").select("a", "b").union(small.select(F.explode(_pairs_of("ids")).alias("p")).select("p.a", "p.b")).union(spokes).distinct())
+    lanes = [found.select(F.col("id").alias(x), F.col("lanes").alias(f"lanes_{x}")) for x in "ab"]
+    agreed = pairs.join(lanes[0], "a").join(lanes[1], "b").where(_agreeing("lanes_a", "lanes_b") >= AGREE).select("a", "b")
+    out = released(scratch.written(agreed))
+    scratch.drop(counted, shared, hubs, pairs)
+    return out, crowded.select("key", "id")
+
+
+def _left_over(crowded: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, component) of the lines in crowded buckets that aren't one component; a line that links to none is its own."""
+    own = scratch.written(crowded.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")))
+    mixed = scratch.written(own.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("key"))
     return own.join(mixed, "key").select("id", "component").distinct()
 
 
-def _prefixes(left: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
-    """(h, id, component, size, at): the rarest shingles of the lines (id, component), as many as leave too few others to reach the threshold.
+def _prefixes(left: DataFrame, lines: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    """(h, id, component, size, at, first): the rarest shingles of the lines (id, component), as many as leave too few others to reach the threshold.
 
-    at is a shingle's place in the line's order from rare to frequent, which is the same order for all lines; ones that no other line has are left out.
+    at is a shingle's place in the line's order from rare to frequent, which is the same order for all lines; ones that no
+    other line has are left out. first tells those that are enough to meet a line that is no smaller.
     """
-    held = left.hint("shuffle_hash").join(lines.select("id", "norm"), "id").select("id", "component", _shingles("norm").alias("all"))
-    rows = written(held.select("id", "component", F.size("all").alias("size"), F.explode("all").alias("h")))
-    often = rows.groupBy("h").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    held = left.hint("shuffle_hash").join(lines.select("id", "norm"), "id").select("id", "component", F.array_distinct(_hashes("norm")).alias("all"))
+    rows = scratch.written(held.select("id", "component", F.size("all").alias("size"), F.explode("all").alias("h")))
+    often = scratch.written(rows.groupBy("h").agg(F.count(F.lit(1)).alias("often")).where("often > 1"))
     by_line = rows.join(often, "h").groupBy("id", "component", "size").agg(F.array_sort(F.collect_list(F.struct("often", "h"))).alias("order"))
     ranked = by_line.select("id", "component", "size", (F.col("size") - F.size("order")).alias("rare"), F.posexplode("order").alias("k", "one"))
-    at = (F.col("rare") + F.col("k")).alias("at")
-    # A little less than the product, whose rounding must not shorten a prefix.
-    return ranked.select(F.col("one.h").alias("h"), "id", "component", "size", at).where(F.col("at") <= F.col("size") - F.ceil(threshold * F.col("size") - 1e-6))
+    at = F.col("rare") + F.col("k")
+    # A little less than the products, whose rounding must not shorten a prefix.
+    last, first = (F.col("size") - F.ceil(share * F.col("size") - 1e-6) for share in (threshold, 2 * threshold / (1 + threshold)))
+    return ranked.select(F.col("one.h").alias("h"), "id", "component", "size", at.alias("at"), (at <= first).alias("first"), (at <= last).alias("kept")).where("kept").drop("kept")
 
 
-def block_pairs(left: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
+def block_pairs(left: DataFrame, lines: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
     """(a, b), a < b: every two of the lines (id, component) in different components that may reach the threshold.
 
-    Of two lines that reach it the first shingle in both prefixes is the first that they share, so sizes and its places bound what they share.
+    Of two lines that reach it the first shingle in both prefixes is the first that they share, so sizes and its places bound
+    what they share. The smaller line needs a shorter prefix only, so shingles that most lines share, which come late, meet nothing.
     """
-    rows = written(_prefixes(left, lines, threshold))
+    rows = scratch.written(_prefixes(left, lines, threshold, scratch))
     counts = rows.groupBy("h", "component").agg(F.count(F.lit(1)).alias("n"))
     # Lines of a block's largest component meet the others only, so that near copies already linked aren't paired.
-    blocks = written(counts.groupBy("h").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("components")).where("components > 1").select("h", "main"))
-    held = written(rows.join(blocks, "h"))
-    sides = [held.select("h", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "component", "size", "at", "main"))) for x in "ab"]
+    blocks = scratch.written(counts.groupBy("h").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("components")).where("components > 1").select("h", "main"))
+    held = scratch.written(rows.join(blocks, "h"))
+    a, b = (held.select("h", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "component", "size", "at", "first", "main"))) for x in "ab")
+    a = a.where("component_a <> main_a")
     shared = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b"))
     enough = shared >= threshold / (1 + threshold) * (F.col("size_a") + F.col("size_b")) - 1e-6
     once = (F.col("component_b") == F.col("main_b")) | (F.col("id_a") < F.col("id_b"))
-    met = sides[0].where("component_a <> main_a").join(sides[1], "h").where((F.col("component_a") != F.col("component_b")) & once & enough)
+    larger = (F.col("size_a") > F.col("size_b")) | ((F.col("size_a") == F.col("size_b")) & (F.col("id_a") > F.col("id_b")))
+    sized = F.least("size_a", "size_b") >= threshold * F.greatest("size_a", "size_b") - 1e-6
+    meet = (F.col("component_a") != F.col("component_b")) & once & sized & enough
+    met = a.where("first_a").join(b, "h").where(~larger & meet).select("id_a", "id_b").union(a.join(b.where("first_b"), "h").where(larger & meet).select("id_a", "id_b"))
     return met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
 
 
-def line_components(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(id, component) of the lines (id, norm) that link to others."""
-    keys = written(band_keys(lines))
-    shared = released(written(_shared(keys.select("id", F.explode("keys").alias("key")))))
-    # Lines that share two bands stand in a finer bucket too, where hardly any other lines are.
-    by_line = shared.groupBy("id").agg(F.array_sort(F.collect_set("key")).alias("keys"))  # at most BANDS of them
-    first = by_line.select("id", "keys", F.posexplode("keys").alias("at", "one"))
-    twos = first.select("id", F.explode(F.slice("keys", F.col("at") + 2, F.size("keys"))).alias("two"), "one").select("id", F.xxhash64("one", "two").alias("key"))
-    fine = written(_shared(twos))
-    pairs = _spokes(_stars(shared).union(_stars(fine))).distinct()
-    links = written(verified(released(written(pairs)), lines, threshold))
-    found = written(components(links))
-    left = written(_left_over(shared, found))
+def line_components(lines: DataFrame, threshold: float = THRESHOLD, scratch: Scratch | None = None, exact: bool = False) -> DataFrame:
+    """(id, component) of the lines (id, norm) that link to others. exact: every line goes through the blocks of rare shingles, without bands."""
+    if scratch is None:
+        with Scratch(lines.sparkSession) as own:
+            return line_components(lines, threshold, own, exact)
+    if exact:
+        pairs = scratch.written(block_pairs(lines.select("id", F.col("id").alias("component")), lines, threshold, scratch))
+        return components(verified(pairs, lines, threshold, scratch))
+    found = scratch.written(signatures(lines))
+    pairs, crowded = candidates(found, scratch)
+    links = verified(pairs, lines, threshold, scratch)
+    linked = components(links)
+    left = scratch.written(_left_over(crowded, linked, scratch))
     if left.isEmpty():
-        return found
-    more = written(verified(released(written(block_pairs(left, lines, threshold))), lines, threshold))
-    return found if more.isEmpty() else components(links.union(more))
+        return linked
+    more = verified(released(scratch.written(block_pairs(left, lines, threshold, scratch))), lines, threshold, scratch)
+    return linked if more.isEmpty() else components(links.union(more))
 
 
-def removed_lines(documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def removed_lines(documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD, exact: bool = False) -> DataFrame:
     """(doc_id, doc_key, removed): for every document that loses lines their numbers, from 0, in order.
 
     doc_key is xxhash64 of the text; with the id it tells rows apart.
     """
     every = lines_of(documents, id_column, text_column)
     distinct = every.groupBy("id").agg(F.min(place()).alias("place"), F.count(F.lit(1)).alias("n"), F.first("norm").alias("norm"))
-    with _Buckets(distinct) as held:
+    with Scratch(documents.sparkSession) as scratch, _Buckets(distinct, scratch) as held:
         lines = released(held)
-        found = written(line_components(lines, threshold))
+        found = line_components(lines, threshold, scratch, exact)
         firsts = lines.select("id", "place", "n")
-        kept = firsts.join(found, "id").groupBy("component").agg(F.min("place").alias("kept"))
+        kept = scratch.written(firsts.join(found, "id").groupBy("component").agg(F.min("place").alias("kept")))
         linked = found.join(kept, "component").select("id", "kept")
         # Lines that occur once and link to none stay where they are.
-        touched = written(firsts.join(linked, "id", "left").where("n > 1 or kept is not null").select("id", F.coalesce("kept", "place").alias("kept")))
+        touched = scratch.written(firsts.join(linked, "id", "left").where("n > 1 or kept is not null").select("id", F.coalesce("kept", "place").alias("kept")))
         out = every.select("id", "doc_id", "doc_key", "line_no").join(touched, "id").where(place() != F.col("kept"))
         return written(out.groupBy("doc_id", "doc_key").agg(F.array_sort(F.collect_set("line_no")).alias("removed")))
 
 
-def dedup_lines(documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD, drop_emptied: bool = False) -> DataFrame:
+def dedup_lines(documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD, exact: bool = False, drop_emptied: bool = False) -> DataFrame:
     """The columns of documents, the text without lines that repeat an earlier one or nearly so.
 
     Defined results: blank lines, null and empty texts stay as they are; documents come in the order of
-    their ids, null last; lines at the same place of rows that repeat an id are told apart by neither, and
-    both stay. drop_emptied leaves out documents that had lines and have lost them all.
+    their ids, of any type with an order, null last; lines at the same place of rows that repeat an id are told apart by neither, and
+    both stay. exact finds links without bands. drop_emptied leaves out documents that had lines and have lost them all.
     """
     names = documents.columns
     renamed = documents.toDF(*(f"in_{k}" for k in range(len(names))))
     text, key = f"in_{names.index(text_column)}", f"in_{names.index(id_column)}"
-    removed = removed_lines(documents, id_column=id_column, text_column=text_column, threshold=threshold)
-    joined = renamed.join(removed, F.col(key).cast("bigint").eqNullSafe(F.col("doc_id")) & (F.xxhash64(text) == F.col("doc_key")), "left")
-    left = _once(F.split(text, "\n"), lambda lines: F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("removed")), lambda i: F.get(lines, i)))
+    removed = removed_lines(documents, id_column=id_column, text_column=text_column, threshold=threshold, exact=exact)
+    joined = renamed.join(removed, F.col(key).eqNullSafe(F.col("doc_id")) & (F.xxhash64(text) == F.col("doc_key")), "left")
+    # Bound to a variable, the text is split once.
+    left = F.get(F.transform(F.array(F.split(text, "\n")), lambda lines: F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("removed")), lambda k: F.get(lines, k))), F.lit(0))
     out = joined.withColumn("left_text", F.when(F.col("removed").isNull(), F.col(text)).otherwise(F.array_join(left, "\n")))
     if drop_emptied:
         out = out.where(F.col("removed").isNull() | (F.btrim("left_text", F.lit(BLANKS + "\n")) != ""))
@@ -273,6 +302,6 @@ def line_report(documents: DataFrame, *, id_column: str = "doc_id", text_column:
     removed = removed_lines(documents, id_column=id_column, text_column=text_column, threshold=threshold)
     breaks = F.octet_length(text_column) - F.octet_length(F.replace(F.col(text_column), F.lit("\n"), F.lit("")))
     counted = documents.select(F.col(id_column).alias("id"), F.xxhash64(text_column).alias("key"), F.coalesce(breaks + 1, F.lit(0)).cast("bigint").alias("n_lines"))
-    joined = counted.join(removed, F.col("id").cast("bigint").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("doc_key")), "left")
+    joined = counted.join(removed, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("doc_key")), "left")
     gone = F.coalesce("removed", F.array().cast("array<int>"))
     return joined.select(F.col("id").alias(id_column), "n_lines", (F.col("n_lines") - F.size(gone)).alias("n_kept"), gone.alias("removed_lines"))
