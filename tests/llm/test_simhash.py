@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 from fluxmere.llm.components import components
-from fluxmere.llm.simhash import fingerprint, forest, keep_one, simhash_components, trie_links
+from fluxmere.llm.simhash import Order, _edges, fingerprint, hamming_components, keep_one, linked, orders, simhash_components
 
 
 def slow_fingerprint(text):
@@ -36,20 +36,72 @@ def near(rng, n):
     return np.unique(np.concatenate(out))
 
 
+def agree(x, y, depth):
+    return (int(x) ^ int(y)) >> (64 - depth) == 0
+
+
 def test_trie_like_all_pairs():
     rng = np.random.default_rng(2)
-    for n in (0, 1, 2, 60):
+    for n, depth in ((0, 3), (1, 3), (2, 1), (60, 1), (60, 4)):
         a, b = near(rng, n), near(rng, n)
         b = np.unique(np.concatenate([b, a[: n // 2] ^ np.uint64(0b10111)]))
-        for left, right in ((a, None), (a, b)):
-            found = [p for i, j in trie_links(left, right, 4) for p in zip(i.tolist(), j.tolist(), strict=True)]
-            other = left if right is None else right
-            want = {(i, j) for i in range(len(left)) for j in range(len(other)) if (right is not None or i < j) and int(left[i] ^ other[j]).bit_count() <= 4}
-            assert len(found) == len(set(found)) and set(found) == want
-
-
-def test_forest():
-    assert forest(6, iter([(np.array([0, 3]), np.array([1, 4])), (np.array([1]), np.array([4]))])).tolist() == [0, 0, 2, 0, 0, 5]
+        for left, right in ((a, None), (a, np.setdiff1d(b, a))):
+            every = left if right is None else np.concatenate((left, right))
+            pairs = [(i, j) for i in range(len(left)) for j in range(i + 1 if right is None else len(left), len(every)) if int(every[i] ^ every[j]).bit_count() <= 4 and agree(every[i], every[j], depth)]
+            want = union_find(range(len(every)), pairs)
+            assert linked(left, right, 4, depth).tolist() == [want[i] for i in range(len(every))]
+
+
+def test_orders():
+    values = np.random.default_rng(3).integers(0, 2**64, 50, dtype=np.uint64)
+    for n, count in ((1000, 5), (10**6, 15), (10**9, 35), (10**15, 70)):
+        made = orders(n, 4)
+        assert len(made) == count
+        for o in made:
+            assert np.array_equal(o.restored(o.permuted(values)), values)
+        # Whichever four bits differ, some order has them all behind the chosen ones.
+        for bits in ((0, 13, 26, 39), (0, 1, 2, 3), (10, 30, 50, 63)):
+            flip = np.array([sum(1 << (63 - x) for x in bits)], np.uint64)
+            assert any(int(o.permuted(flip)[0]) >> (64 - o.depth) == 0 for o in made)
+    assert Order(5, (0,)).depth == 12
+
+
+def links_of(values):
+    """(u, v) of the forests of all orders, each over all values as one block."""
+    out = []
+    for o in orders(len(values), 4):
+        leaves = np.sort(o.permuted(values))
+        u, v = _edges(leaves, linked(leaves, None, 4, o.depth), o)
+        out += zip(u.view(np.uint64).tolist(), v.view(np.uint64).tolist(), strict=True)
+    return out
+
+
+def test_many_like_all_pairs_of_a_sample():
+    """200,000 fingerprints, among them copies a few bits apart and a crowd of 3,000 around one; a sample meets all of them."""
+    rng = np.random.default_rng(4)
+    crowd = np.full(3000, rng.integers(0, 2**64, dtype=np.uint64))
+    for _ in range(3):
+        crowd ^= np.uint64(1) << rng.integers(0, 64, 3000, dtype=np.uint64)
+    values = np.unique(np.concatenate([rng.integers(0, 2**64, 172_000, dtype=np.uint64), near(rng, 5000), crowd]))
+    assert len(values) > 195_000
+    root = union_find(values.tolist(), links_of(values))
+    sample = np.concatenate([rng.choice(values, 150), crowd[:30]])
+    for x in sample:
+        for y in values[np.bitwise_count(values ^ x) <= 4].tolist():
+            assert root[y] == root[int(x)]
+    # Nothing else is joined: links are within the budget, or join leaves that others connect.
+    base = union_find(range(len(sample)), [(i, j) for i in range(len(sample)) for j in range(i) if int(sample[i] ^ sample[j]).bit_count() <= 4])
+    assert len({root[int(x)] for x in sample}) <= len(set(base.values()))
+
+
+def test_blocks_that_meet(spark):
+    """Blocks so small that prefixes span many of them."""
+    rng = np.random.default_rng(5)
+    values = np.unique(np.concatenate([near(rng, 40), np.uint64(7 << 60) | rng.integers(0, 1 << 14, 150, dtype=np.uint64)]))
+    found = {r.id: r.component for r in hamming_components(spark.createDataFrame([(int(x),) for x in values.view(np.int64)], "fp bigint"), block=16).collect()}
+    ids = values.view(np.int64).tolist()
+    want = union_find(ids, [(a, b) for k, a in enumerate(ids) for b in ids[:k] if ((a ^ b) & (2**64 - 1)).bit_count() <= 4])
+    assert {i: found.get(i, i) for i in ids} == want
 
 
 def union_find(ids, links):
