@@ -1,9 +1,9 @@
 """BPE encoding and decoding by tree concatenation, equal to what the tokenizers library gives.
 
-A long text is cut in halves, these again, until pieces are short. Pieces are encoded on their own.
-Neighbours are joined by encoding a window around the cut anew: it reaches some runs of
-characters (what stands between blanks) into either side and grows until its outermost runs are, with their
-ids, those that the two sides already have; the joined ids are then those of the whole. A single word can be long too (no blank
+A long text is cut in halves, these again, until pieces are short. Pieces are encoded on their own, all
+pieces of a batch at once. Neighbours are joined by encoding a window around the cut anew: it reaches some runs of
+characters (what stands between blanks) into either side and grows until the ids of its outermost runs are those that the two
+sides have for them; the joined ids are then those of the whole. A single word can be long too (no blank
 for pages on end): it is cut and joined in the same way by its symbols, where a window agrees if its first and last tokens
 are those of the sides; a row of tokens is what BPE gives if each neighbouring pair is, so that is exact again.
 
@@ -11,7 +11,8 @@ Most runs occur again and again, so each Python worker remembers their ids and t
 the library encodes those that are new, all of a batch at once.
 
 Defined results: null and empty texts have no tokens; strings of special tokens in a text are those tokens,
-as in the library; repeated rows get equal results.
+as in the library; repeated rows get equal results, so there are no ties. Columns of the input that are called like a new one
+are replaced by it.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cached_property, lru_cache
 
 import numpy as np
@@ -42,6 +45,24 @@ LONGEST_REMEMBERED = 64
 PLAIN = re.compile(r"[\x00-\x1b\x20-\xff]*")
 
 
+@dataclass
+class Tree:
+    """A piece of text as the runs in it, or two halves; parted if no run goes on across the cut."""
+
+    own: list[str]
+    left: Tree | None = None
+    right: Tree | None = None
+    parted: bool = False
+    blank: str | None = None
+
+    def runs(self) -> Iterator[str]:
+        stack = [self]
+        while stack:
+            x = stack.pop()
+            yield from x.own
+            stack += [y for y in (x.left, x.right) if y is not None]
+
+
 class TreeEncoder:
     """Encoder and decoder of a tokenizer file of this kind: BPE over byte-level symbols, words cut by a pattern that drops blanks, lower case."""
 
@@ -61,6 +82,8 @@ class TreeEncoder:
         self.suffix = config["model"].get("end_of_word_suffix") or ""
         self.raw = plain | {"pre_tokenizer": None, "model": None}
         self.path = path
+        if any(x.get(flag) for x in config["added_tokens"] for flag in ("lstrip", "rstrip", "single_word", "normalized")):
+            raise ValueError(f"{path}: added tokens that take blanks, are whole words only or are normalized")
         self.special = {x["content"]: x["id"] for x in config["added_tokens"]}
         longest_first = sorted(self.special, key=len, reverse=True)
         self.special_at = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if self.special else None
@@ -77,23 +100,26 @@ class TreeEncoder:
 
     def encode_decode(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
         """For each text its ids as bytes, and what they decode to in UTF-8."""
-        runs = [self._runs_of(x) if x else [] for x in texts]
-        self._learn({r for own in runs for r in own})
+        trees = [self._trees(x) if x else [] for x in texts]
+        self._learn({r for own in trees for tree in own for r in tree.runs()})
         out = []
-        for own in runs:
-            known = [self.memory[r] for r in own]
+        for own in trees:
+            known = [self.memory[r] for tree in own for r in self._concatenated(tree)]
             out.append((b"".join([a for a, _ in known]), b" ".join([b for a, b in known if a])))
         return out
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
         return self.whole.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
 
-    def _learn(self, runs: set[str]) -> None:
-        """Remember runs that are new; special tokens stand as runs with a leading blank, which no other has."""
-        if len(self.memory) > REMEMBERED:
-            self.memory.clear()
-        for r in [r for r in self.memory if len(r) > LONGEST_REMEMBERED and r not in runs]:
-            del self.memory[r]
+    def _learn(self, runs: set[str], keep: bool = False) -> None:
+        """Remember runs that are new; special tokens stand as runs with a leading blank, which no other has. keep: forget nothing that was learnt before."""
+        if not runs:
+            return
+        if not keep:
+            if len(self.memory) > REMEMBERED:
+                self.memory.clear()
+            for r in [r for r in self.memory if len(r) > LONGEST_REMEMBERED and r not in runs]:
+                del self.memory[r]
         new = list(runs - self.memory.keys())
         rare = [r for r in new if r[0] == " " or len(r) > self.word_piece // 4]
         for r in rare:
@@ -114,17 +140,12 @@ class TreeEncoder:
             spans = list(zip(cuts[:-1], cuts[1:], strict=True))
             self.memory.update(zip(short, zip([raw[4 * a : 4 * b] for a, b in spans], [b" ".join(tokens[a:b]) for a, b in spans], strict=True), strict=True))
 
-    def _runs_of(self, text: str) -> list[str]:
-        """The runs between blanks of a text, as the normalizer leaves them."""
-        if self.special_at and self.special_at.search(text):
-            out = []
-            for piece in self.special_at.split(text):
-                if piece in self.special:
-                    out.append(" " + piece)
-                elif piece:
-                    out += self._tree(*self._normal(piece))
-            return out
-        return self._tree(*self._normal(text))
+    def _trees(self, text: str) -> list[Tree]:
+        """A tree for each stretch of a text between special tokens, and for each of these."""
+        if not (self.special_at and self.special_at.search(text)):
+            return [self._tree(*self._normal(text))]
+        pieces = [p for p in self.special_at.split(text) if p]
+        return [Tree([" " + p]) if p in self.special else self._tree(*self._normal(p)) for p in pieces]
 
     def _normal(self, text: str) -> tuple[str, str | None]:
         """The normalized text, and what parts its runs: None for any blank."""
@@ -134,26 +155,33 @@ class TreeEncoder:
 
     # A text's tree.
 
-    def _tree(self, text: str, blank: str | None) -> list[str]:
-        """Runs of a text: of its halves, joined where a window around the cut and both sides agree."""
+    def _tree(self, text: str, blank: str | None) -> Tree:
+        """The text cut in halves until these are short; a cut may fall inside a run."""
         if len(text) <= self.piece:
-            return [r for r in text.split(blank) if r]
+            return Tree([r for r in text.split(blank) if r])
         mid = len(text) // 2
-        left, right = self._tree(text[:mid], blank), self._tree(text[mid:], blank)
         parted = not (text[mid - 1].split(blank)[:1] and text[mid].split(blank)[:1]) or " " in (text[mid - 1], text[mid])
+        return Tree([], self._tree(text[:mid], blank), self._tree(text[mid:], blank), parted, blank)
+
+    def _concatenated(self, tree: Tree) -> list[str]:
+        """The runs of a tree, whose ids are in memory: those of its halves, joined where a window around the cut, encoded anew, has the ids of both sides at its ends."""
+        if tree.left is None:
+            return tree.own
+        left, right = self._concatenated(tree.left), self._concatenated(tree.right)
         reach = WINDOW
         while True:
             a, b = max(0, len(left) - reach), min(len(right), reach)
-            window = [r for r in (" ".join(left[a:]) + (" " if parted else "") + " ".join(right[:b])).split(blank) if r]
+            text = " ".join(left[a:]) + (" " if tree.parted else "") + " ".join(right[:b])
+            window = [r for r in text.split(tree.blank) if r]
+            self._learn(set(window) - self.memory.keys(), keep=True)
             # A side that the window takes whole has nothing left to agree with.
-            agreed = (a == 0 or self._same(window[:1], left[a : a + 1])) and (b == len(right) or self._same(window[-1:], right[b - 1 : b]))
-            if agreed:
+            if (a == 0 or self._agree(window[:1], left[a : a + 1])) and (b == len(right) or self._agree(window[-1:], right[b - 1 : b])):
                 return [*left[:a], *window, *right[b:]]
             reach *= 2
 
-    def _same(self, one: list[str], other: list[str]) -> bool:
-        """Equal runs have equal ids."""
-        return bool(one) and one == other
+    def _agree(self, one: list[str], other: list[str]) -> bool:
+        """Whether a run at a window's end has the ids that the side has there, over the same characters."""
+        return bool(one and other) and self.memory[one[0]][0] == self.memory[other[0]][0] and one[0] == other[0]
 
     # A long word's tree.
 

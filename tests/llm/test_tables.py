@@ -94,6 +94,42 @@ def test_bpe_like_library(piece, word):
         assert decoded.decode("utf-8", "surrogatepass") == coder.whole.decode(want, skip_special_tokens=False)
 
 
+def test_a_window_that_disagrees_grows(monkeypatch):
+    """Where the outermost ids of a window are not those of the side, it reaches further; a join that never looked would be wrong."""
+    coder = bpe.TreeEncoder(PATH, 64)
+    text = " ".join(f"word{k} und{k}so" for k in range(60))
+    seen = []
+    agree = bpe.TreeEncoder._agree
+
+    def reluctant(self, one, other):
+        seen.append(len(seen))
+        return len(seen) > 3 and agree(self, one, other)
+
+    monkeypatch.setattr(bpe.TreeEncoder, "_agree", reluctant)
+    assert coder.encode([text])[0].tolist() == coder.whole.encode(text, add_special_tokens=False).ids
+    assert len(seen) > 3
+
+
+def test_word_joins_compare_tokens():
+    """Pieces cut at any place join to what the whole word gives; gluing them together wouldn't."""
+    coder = bpe.TreeEncoder(PATH, 4096, 16)
+    word = "internationalisierung" * 12
+    assert coder.encode([word])[0].tolist() == coder.whole.encode(word, add_special_tokens=False).ids
+    glued = [i for k in range(0, len(word), 16) for i in coder.whole.encode(word[k : k + 16], add_special_tokens=False).ids]
+    assert glued != coder.whole.encode(word, add_special_tokens=False).ids
+
+
+def test_added_token_flags_are_refused(tmp_path):
+    import json
+
+    with open(PATH, encoding="utf-8") as f:
+        config = json.load(f)
+    config["added_tokens"][0]["lstrip"] = True
+    (tmp_path / "t.json").write_text(json.dumps(config))
+    with pytest.raises(ValueError, match="added tokens"):
+        bpe.TreeEncoder(str(tmp_path / "t.json"))
+
+
 def test_tokenize(spark):
     df = spark.createDataFrame([(k, t, "x") for k, t in enumerate(odd_texts())], "doc_id bigint, text string, ids string")
     got = {r.doc_id: r for r in bpe.tokenize(df, PATH).collect()}
