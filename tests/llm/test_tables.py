@@ -150,32 +150,52 @@ def test_search_like_sort():
     for n, dims, block, top in ((500, 8, 64, 30), (50, 4, 16, 2), (10, 3, 4, 5), (1, 2, 4, 5), (60, 3, 7, 1 << 40)):
         rows, ids = rng.integers(-top, top, (n, dims)), np.arange(n) * 3 - 7
         q = np.flatnonzero(ids % 5 == 0)
-        of, found, score = search(ids[q], rows[q], ids, rows, 20, block)
+        of, found, score, _ = search(ids[q], rows[q], ids, ids, rows, 20, block)
         for k, i in enumerate(q):
             dots = [sum(int(a) * int(b) for a, b in zip(rows[i], r, strict=True)) for r in rows]
             if max(map(abs, dots)) < 1 << 62:
                 assert [(-int(s), int(v)) for s, v in zip(score[of == k], found[of == k], strict=True)] == sorted((-dots[j], int(ids[j])) for j in range(n) if j != i)[:20]
 
 
-def test_top_k(spark):
+@pytest.mark.parametrize("sizes", [{}, {"block": 8, "blocks": 4, "batch": 5}])
+def test_top_k(spark, sizes):
+    """All of it in one range, and over ten ranges and four batches; rows that repeat an id are rows of their own."""
     rng = random.Random(1)
     vectors = [(k, [rng.uniform(-1, 1) for _ in range(6)]) for k in range(200)] + [(k, [0.5] * 6) for k in range(200, 290)]
-    odd = [(300, None), (320, [None] * 6), (340, [float("nan")] + [0.0] * 5), (360, [float("inf")] * 6), (380, []), (None, [1.0] * 6), (0, [rng.uniform(-1, 1) for _ in range(6)])]
-    df = spark.createDataFrame([(*r, "x") for r in vectors + odd], "vec_id bigint, embedding array<float>, score string")
-    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in top_k(df).collect()}
-    kept = {}
+    odd = [(300, None), (320, [None] * 6), (340, [float("nan")] + [0.0] * 5), (360, [float("inf")] * 6), (380, []), (None, [1.0] * 6), (0, [rng.uniform(-1, 1) for _ in range(6)]), (7, [0.25] * 6), (7, [0.25] * 6)]
+    df = spark.createDataFrame([(*r, "x") for r in vectors + odd], "vec_id bigint, embedding array<float>, score string").repartition(3)
+    got = sorted(map(tuple, top_k(df, **sizes).collect()))
+    kept = []
     for i, v in vectors + odd:
         v32 = np.array(v, np.float32).astype(float) if v is not None and None not in v else None
         if i is not None and v32 is not None and np.isfinite(v32).all():
-            w = np.floor(64 * v32).astype(int).tolist()
-            kept[i] = min(kept.get(i, w), w)
-    for q in (i for i in kept if i % 20 == 0):
-        best = sorted((-sum(a * b for a, b in zip(kept[q], kept[j], strict=False)), j) for j in kept if j != q)[:20]
-        assert [got.get((q, k + 1)) for k in range(20)] == [(j, -s) for s, j in best]
-    assert len(got) == 20 * sum(i % 20 == 0 for i in kept)
+            kept.append((i, np.floor(64 * v32).astype(int).tolist()))
+    want = []
+    for n, (q, w) in enumerate(kept):
+        if q % 20 == 0:
+            best = sorted((-sum(a * b for a, b in zip(w, x, strict=False)), j) for m, (j, x) in enumerate(kept) if m != n)[:20]
+            want += [(q, k + 1, j, -s) for k, (s, j) in enumerate(best)]
+    assert got == sorted(want)
     assert top_k(df.limit(0)).count() == 0
 
 
+def test_blocks_are_pruned():
+    """Blocks of rows about other things than the query aren't visited, nor is anything below a kth score from elsewhere."""
+    rng = np.random.default_rng(3)
+    rows = np.zeros((400, 40), np.int64)
+    for k in range(400):
+        rows[k, 4 * (k // 40) : 4 * (k // 40) + 4] = rng.integers(1, 50, 4)
+    ids = np.arange(400)
+    of, found, score, visits = search(ids[:40], rows[:40], ids, ids, rows, 5, 20)
+    full = rows[:40] @ rows.T
+    for q in range(40):
+        best = sorted((-full[q, j], j) for j in range(400) if j != q)[:5]
+        assert [(-s, i) for i, s in zip(found[of == q].tolist(), score[of == q].tolist(), strict=True)] == best
+    assert visits <= 40 * 3  # of 20 blocks each
+    floor = np.full(40, full.max() + 1)
+    assert search(ids[:40], rows[:40], ids, ids, rows, 5, 20, floor)[3] == 0
+
+
 # Mixing.
 
 

@@ -98,6 +98,89 @@ def test_odd_pages(html, text):
     assert main_text(html) == text
 
 
+def slow_points(root):
+    """Points by the rule's words: every block's text, without that of blocks in it, to its ancestors."""
+    from fluxmere.llm import html
+
+    every = []
+
+    def walk(node):
+        every.append(node)
+        for c in node.children:
+            if isinstance(c, html.Node) and not c.dropped:
+                walk(c)
+
+    def pieces(node, inside):
+        for c in node.children:
+            if isinstance(c, str):
+                yield c, inside or node.tag == "a"
+            elif not c.dropped and (c.tag not in html.BLOCKS):
+                yield from pieces(c, inside or node.tag == "a")
+
+    def everything(node, inside):
+        for c in node.children:
+            if isinstance(c, str):
+                yield c, inside or node.tag == "a"
+            elif not c.dropped:
+                yield from everything(c, inside or node.tag == "a")
+
+    walk(root)
+    points = {id(x): 0.0 for x in every}
+    letters = lambda parts: sum(len(t.replace(" ", "").replace("\n", "")) for t in parts)
+    for x in every:
+        if x.tag in html.BLOCKS and x.tag not in html.HEADINGS or x is root:
+            own, whole = [t for t, _ in pieces(x, False)], list(everything(x, False))
+            size = letters(t for t, _ in whole)
+            if sum(map(len, own)) and size:
+                share = letters(t for t, link in whole if link) / size
+                worth = (1 + "".join(own).count(",") + min(sum(map(len, own)) / 100, 3)) * (1 - share) * (html.DISCOUNT if x.doubtful else 1)
+                up = x if x.tag in ("article", "main", "section", "body", "div", "#root", "td") else x.parent
+                while up is not None and worth:
+                    points[id(up)] += worth
+                    up, worth = up.parent, worth / 2 if worth else 0
+    return every, points
+
+
+def test_points_like_the_rule(monkeypatch):
+    from fluxmere.llm import html
+
+    monkeypatch.setattr(html, "LEAST_SHARE", 0.0)
+    rng = random.Random(12)
+
+    def made(depth):
+        out = []
+        for _ in range(rng.randint(1, 4)):
+            tag = rng.choice(["div", "p", "section", "b", "span", "article", "h2", "td", 'div class="hidden-gem"'])
+            inner = made(depth - 1) if depth else rng.choice(["", " ", "some text, and more", "words " * 40, "<a>a link</a> here"])
+            out.append(f"<{tag}>{inner}</{tag.split()[0]}>")
+        return "".join(out)
+
+    for _ in range(60):
+        root = html.parse(f"<body>{made(3)}</body>")
+        html.score(root)
+        every, points = slow_points(root)
+        assert [x.points for x in every] == pytest.approx([points[id(x)] for x in every])
+
+
+def test_words_among_others_cost_no_text():
+    long = "A paragraph of the article, long enough, with commas, to be worth a lot of points. " * 3
+    page = f'<body><article><h1>T</h1><p>{long}</p><div class="hidden-gem"><p>A gem.</p></div><div class="post-tags-intro">Intro.</div><p class="search-results-note">A note.</p><div class="related-posts"><p>Others, too, are good.</p></div></article></body>'
+    found = main_text(page).split("\n")
+    assert found[0] == "T" and found[2:] == ["A gem.", "Intro.", "A note."]
+    two = f"<body><main><article><p>{long * 4}</p></article><article><p>A short one.</p></article></main></body>"
+    assert main_text(two).split("\n")[1] == "A short one."
+
+
+@pytest.mark.parametrize("page", ["<div>" * 20_000 + "x" + "</span>" * 20_000, "<b>" + "<div>" * 20_000 + "x" + "</b>" * 20_000, "<span>" * 30_000 + "<h1>t<h2>u" * 3_000, "<li>" * 30_000, "<b>x" * 40_000, "<header>" + "<div>" * 20_000 + "<h1>x" * 5_000])
+def test_broken_pages_take_no_longer(page):
+    import time
+
+    start = time.perf_counter()
+    main_text(page)
+    main_text("<article>" + page)
+    assert time.perf_counter() - start < 5
+
+
 def test_extract(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "clash"), (2, None, None, "x"), (2, None, None, "x")], "page_id bigint, url string, html string, text string")
     got = extract(df)
