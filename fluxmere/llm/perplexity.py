@@ -2,14 +2,16 @@
 
 Counts of the trusted texts live in a table sharded by hash. Continuation counts, context totals and
 discounts are aggregates of it, and the probability of every known n-gram comes from joins of n-grams with
-their contexts and with the n-grams one byte shorter. What comes out is
-gathered by the driver and broadcast, and scores every document where it is read; it grows with the distinct n-grams of all trusted texts. A document's perplexity is compared with a quantile of
+their contexts and with the n-grams one byte shorter. Documents are scored by joining the counts of their n-grams with that table,
+backing off a byte at a time where it has none; a table of up to MOST_ROWS rows is broadcast instead and looked up where
+texts are read, which gives the same code lengths and moves no n-grams. A document's perplexity is compared with a quantile of
 the trusted texts of its language that the model has not seen.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .backoff import Coder, Table, gram_counts
-from .common import GROUP_CHARS, bounded_batches, give_back, groups_of, written
+from .common import GROUP_CHARS, Scratch, bounded_batches, give_back, groups_of, written
 
 #: Longest context in bytes.
 ORDER = 4
@@ -27,6 +29,10 @@ QUANTILE = 0.99
 FEW = 1.6
 #: Bytes of average trusted text that each document is taken to have besides its own: a few words alone tell little.
 PRIOR = 16
+#: Bytes of a text whose n-grams are counted at once.
+CHUNK = 1 << 20
+#: Rows of the tables of n-grams and contexts that are broadcast; some 30 bytes each. Larger ones are joined.
+MOST_ROWS = 4_000_000
 
 
 def _adjusted(counts: DataFrame, order: int) -> DataFrame:
@@ -126,12 +132,64 @@ def score(documents: DataFrame, models: dict[str, Coder], *, text_column: str =
     return bounded_batches(documents).mapInArrow(run, f"{fields}, model string, n_bytes bigint, bits double")
 
 
+def _own_grams(documents: DataFrame, order: int) -> DataFrame:
+    """(row, size, gram, n): how often each n-gram of order + 1 bytes, fewer at a text's start, stands in a row's text; summed for each text before it is sent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8).astype(np.int64) if text else np.zeros(0, np.int64)
+                for a in range(0, len(data), CHUNK):
+                    key = data[max(0, a - order) : a + CHUNK]
+                    back, whole = min(a, order), key
+                    for k in range(1, order + 1):
+                        whole = whole.copy()
+                        whole[k:] += key[:-k] << (8 * k) if len(key) > k else 0
+                    size = np.minimum(np.arange(back, len(key)) + (a - back), order) + 1
+                    grams, n = np.unique(np.stack((size, whole[back:])), axis=1, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), row, np.int64)), pa.array(grams[0]), pa.array(grams[1]), pa.array(n)], names=["row", "size", "gram", "n"])
+        give_back()
+
+    return bounded_batches(documents).select("row", "text").mapInArrow(run, "row bigint, size bigint, gram bigint, n bigint")
+
+
+def score_by_joins(documents: DataFrame, grams: DataFrame, contexts: DataFrame, scratch: Scratch, *, text_column: str = "text", lang_column: str = "lang", order: int = ORDER) -> DataFrame:
+    """What score() gives, by joins: counted n-grams of the texts meet the table, what it doesn't know pays for leaving its context and comes back a byte shorter."""
+    kept = [c for c in documents.columns if c != text_column]
+    rows = scratch.written(documents.withColumn("row", F.monotonically_increasing_id()))
+    models = scratch.written(grams.select("model").distinct())  # a row for each language
+    texts = rows.select("row", F.col(text_column).alias("text"))
+    own = rows.select("row", F.col(lang_column).alias("lang")).join(F.broadcast(models.withColumn("lang", F.col("model")).withColumnRenamed("model", "known")), "lang", "left")
+    every = F.broadcast(models.agg(F.collect_list("model").alias("models")))
+    asked = scratch.written(own.join(every).select("row", F.explode(F.when(F.col("known").isNotNull(), F.array("known")).otherwise(F.col("models"))).alias("model")))
+    counted = scratch.written(_own_grams(texts, order).groupBy("row", "size", "gram").agg(F.sum("n").alias("n")).join(asked, "row"))
+    cost = F.col("bits").cast("decimal(38,9)") * F.col("n")
+    paid, left = [], None
+    for size in range(order + 1, 0, -1):
+        at = counted.where(F.col("size") == size).select("row", "model", "gram", "n")
+        if left is not None:
+            at = at.union(left).groupBy("row", "model", "gram").agg(F.sum("n").alias("n"))
+        met = scratch.written(at.join(grams.where(F.col("size") == size).select("model", "gram", "bits"), ["model", "gram"], "left"))
+        paid.append(met.where("bits is not null").select("row", "model", cost.alias("cost")))
+        unknown = met.where("bits is null").select("row", "model", "gram", "n", F.shiftright("gram", 8).alias("context"))
+        leave = unknown.join(contexts.where(F.col("size") == size).select("model", "context", "bits"), ["model", "context"], "left").select("row", "model", "gram", "n", F.coalesce("bits", F.lit(0.0)).alias("bits"))
+        paid.append(leave.select("row", "model", cost.alias("cost")))
+        left = unknown.select("row", "model", F.col("gram").bitwiseAND(F.lit((1 << (8 * (size - 1))) - 1)).alias("gram"), "n")
+    # A byte that the model never saw: one of 256.
+    paid.append(left.select("row", "model", (F.lit(8) * F.col("n")).cast("decimal(38,9)").alias("cost")))
+    sums = scratch.written(reduce(DataFrame.union, [x.groupBy("row", "model").agg(F.sum("cost").alias("cost")) for x in paid]).groupBy("row", "model").agg(F.sum("cost").cast("double").alias("bits")))
+    best = sums.groupBy("row").agg(F.min(F.struct("bits", "model")).alias("best"))
+    found = rows.join(best, "row", "left")
+    length = F.coalesce(F.octet_length(text_column), F.lit(0)).cast("bigint")
+    return found.select(*kept, F.col("best.model").alias("model"), length.alias("n_bytes"), F.col("best.bits").alias("bits"))
+
+
 def unseen(id_column: str):
     """Trusted texts that thresholds are taken from: a fifth, by the id's crc32."""
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def classify(documents: DataFrame, trusted: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", order: int = ORDER, quantile: float = QUANTILE, prior: int = PRIOR) -> DataFrame:
+def classify(documents: DataFrame, trusted: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", order: int = ORDER, quantile: float = QUANTILE, prior: int = PRIOR, most_rows: int = MOST_ROWS) -> DataFrame:
     """A row for each row of documents: id, lang, model, n_bytes, perplexity (a byte), judged (the same with the prior), threshold and kept.
 
     trusted: one column, the ids of trusted documents. Defined results: a null or empty text has a null perplexity
@@ -141,11 +199,14 @@ def classify(documents: DataFrame, trusted: DataFrame, *, id_column: str = "doc_
     ids = written(trusted.toDF("trusted_id").where("trusted_id is not null").distinct())
     rows = documents.select(F.col(id_column).alias("id"), F.col(lang_column).alias("lang"), F.col(text_column).alias("text"))
     fit = rows.where(~unseen("id") & F.col("lang").isNotNull() & (F.col("text") != "")).join(ids, F.col("id") == F.col("trusted_id"), "left_semi").select(F.col("lang").alias("model"), "text")
-    counts = written(gram_counts(fit, order))
-    grams, contexts = kneser_ney(counts, order)
-    models = coders(grams.toArrow(), contexts.toArrow(), order)
-    rate = F.when(F.col("bits").isNotNull(), F.pow(F.lit(2.0), F.col("bits") / F.col("n_bytes")))
-    scored = written(score(rows, models).withColumn("perplexity", rate))
+    with Scratch(documents.sparkSession) as scratch:
+        grams, contexts = (scratch.written(x) for x in kneser_ney(scratch.written(gram_counts(fit, order)), order))
+        if grams.count() + contexts.count() <= most_rows:
+            scored = score(rows, coders(grams.toArrow(), contexts.toArrow(), order))
+        else:
+            scored = score_by_joins(rows, grams, contexts, scratch, order=order)
+        rate = F.when(F.col("bits").isNotNull(), F.pow(F.lit(2.0), F.col("bits") / F.col("n_bytes")))
+        scored = written(scored.withColumn("perplexity", rate))
     seen = scored.where(unseen("id") & F.col("perplexity").isNotNull()).join(ids, F.col("id") == F.col("trusted_id"), "left_semi")
     # Sums of doubles depend on their order; of decimals they don't.
     usual = written(seen.groupBy("model").agg((F.sum(F.col("bits").cast("decimal(28,6)")) / F.sum("n_bytes")).cast("double").alias("usual")))

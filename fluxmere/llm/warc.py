@@ -17,7 +17,9 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -28,9 +30,9 @@ from pyspark.sql.types import StructType
 
 from .common import bounded_batches, shared_dir, written
 
-SCHEMA = "record_type string, record_id string, target_uri string, date string, payload_digest string, payload_bytes bigint, refers_to string, row_id bigint, refers_to_row_id bigint, headers map<string,string>, payload binary"
+SCHEMA = "record_type string, record_id string, target_uri string, date string, payload_digest string, payload_bytes bigint, refers_to string, row_id string, refers_to_row_id string, headers map<string,string>, payload binary"
 #: What a writer's input must have; a null payload is an empty one.
-INPUT = "row_id bigint, record_type string, target_uri string, payload binary, refers_to_row_id bigint"
+INPUT = "row_id string, record_type string, target_uri string, payload binary, refers_to_row_id string, refers_to_uri string"
 #: Profile of a revisit, fixed by the WARC standard.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Headers of this writer: the row's id, that of the row it refers to, and the length of the whole payload.
@@ -39,6 +41,10 @@ ROW, REFERS, LENGTH = "X-Row-Id", "X-Refers-To-Row-Id", "X-Payload-Length"
 EXTRA = b"SL"
 #: Bytes read at once, bytes of payload in an output batch, bytes at which a file is full.
 CHUNK, BATCH, FULL = 1 << 16, 8 << 20, 256 << 20
+#: Files that a commit moves at once.
+MOVERS = 16
+#: Characters of an id that stand for themselves in a header: all printable ones of ASCII but the sign that quotes others.
+SAFE = "".join(map(chr, range(33, 127))).replace("%", "") + " "
 COLUMN_HEADERS = {"record_type": "warc-type", "record_id": "warc-record-id", "target_uri": "warc-target-uri", "date": "warc-date", "payload_digest": "warc-payload-digest", "refers_to": "warc-refers-to", "row_id": ROW.lower(), "refers_to_row_id": REFERS.lower()}
 
 
@@ -54,7 +60,7 @@ def base32_sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record_urn(row_id: int | None, digest: str, uri: str | None) -> str:
+def record_urn(row_id: str | None, digest: str, uri: str | None) -> str:
     """The same record gets the same id in every run."""
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{row_id} {digest} {uri}')}>"
 
@@ -64,7 +70,13 @@ def _line(value: str) -> str:
     return value.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A") if re.search(r"[\r\n]", value) else value
 
 
-def record(row_id: int | None, kind: str, uri: str | None, payload: bytes, refers: int | None, date: str) -> bytes:
+def _id(value: str) -> str:
+    """Any id as a header's value; unquoted when read."""
+    return quote(value, safe=SAFE)
+
+
+def record(row_id: str | None, kind: str, uri: str | None, payload: bytes, refers: str | None, date: str, refers_uri: str | None = None) -> bytes:
+    """A record as bytes. A revisit names the record that it repeats by id, address and date, as the standard has it."""
     digest = base32_sha1(payload)
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if kind == "revisit" else http + payload
@@ -73,11 +85,13 @@ def record(row_id: int | None, kind: str, uri: str | None, payload: bytes, refer
         head.append(("WARC-Target-URI", _line(uri)))
     head += [("WARC-Payload-Digest", f"sha1:{digest}"), ("WARC-Block-Digest", f"sha1:{base32_sha1(block)}"), (LENGTH, str(len(payload)))]
     if row_id is not None:
-        head.append((ROW, str(row_id)))
+        head.append((ROW, _id(row_id)))
     if kind == "revisit":
         head.append(("WARC-Profile", PROFILE))
         if refers is not None:
-            head.append((REFERS, str(refers)))
+            head += [("WARC-Refers-To", record_urn(refers, digest, refers_uri)), ("WARC-Refers-To-Date", date), (REFERS, _id(refers))]
+            if refers_uri is not None:
+                head.append(("WARC-Refers-To-Target-URI", _line(refers_uri)))
     head += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode("utf-8", "surrogatepass") + b"\r\n" + block + b"\r\n\r\n"
 
@@ -131,12 +145,12 @@ class WarcWriter(DataSourceArrowWriter):
         fs.create_dir(f"{root}/_temporary/{self.run}", recursive=True)
         files, out, size = [], None, 0
         for batch in iterator:
-            columns = (batch.column(batch.schema.get_field_index(c)) for c in ("row_id", "record_type", "target_uri", "payload", "refers_to_row_id"))
-            for row_id, kind, uri, payload, refers in zip(*columns, strict=True):
+            columns = (batch.column(batch.schema.get_field_index(c)) for c in ("row_id", "record_type", "target_uri", "payload", "refers_to_row_id", "refers_to_uri"))
+            for row_id, kind, uri, payload, refers, refers_uri in zip(*columns, strict=True):
                 if out is None:
                     files.append(f"{uuid.uuid4().hex}.warc{'.gz' if self.gz else ''}")
                     out, size = fs.open_output_stream(f"{root}/_temporary/{self.run}/{files[-1]}", compression=None), 0
-                data = record(row_id.as_py(), kind.as_py(), uri.as_py(), payload.as_py() or b"", refers.as_py(), self.date)
+                data = record(row_id.as_py(), kind.as_py(), uri.as_py(), payload.as_py() or b"", refers.as_py(), self.date, refers_uri.as_py())
                 data = member(data, self.level) if self.gz else data
                 out.write(data)
                 size += len(data)
@@ -154,9 +168,8 @@ class WarcWriter(DataSourceArrowWriter):
             for x in fs.get_file_info(pafs.FileSelector(root)):
                 if x.is_file and re.search(r"\.warc(\.gz)?$", x.path):
                     fs.delete_file(x.path)
-        for m in messages:
-            for f in m.files if m else ():
-                fs.move(f"{root}/_temporary/{self.run}/{f}", f"{root}/{f}")
+        with ThreadPoolExecutor(MOVERS) as pool:
+            list(pool.map(lambda f: fs.move(f"{root}/_temporary/{self.run}/{f}", f"{root}/{f}"), [f for m in messages if m for f in m.files]))
         self._clear(fs, root)
 
     def abort(self, messages: list) -> None:
@@ -180,13 +193,13 @@ class WarcReader(DataSourceReader):
         """Takes equality, IN, prefix and IS NOT NULL on the columns that are headers; Spark filters the rest."""
         for f in filters:
             name = COLUMN_HEADERS.get(f.attribute[0]) if len(getattr(f, "attribute", ())) == 1 else None
-            digest = name == "warc-payload-digest"
+            said = {"warc-payload-digest": "sha1:{}".format, ROW.lower(): _id, REFERS.lower(): _id}.get(name, str)
             if name and isinstance(f, (EqualTo, EqualNullSafe)) and f.value is not None:
-                self.wanted.append((name, frozenset([f"sha1:{f.value}" if digest else str(f.value)])))
+                self.wanted.append((name, frozenset([said(f.value)])))
             elif name and isinstance(f, In):
-                self.wanted.append((name, frozenset(f"sha1:{v}" if digest else str(v) for v in f.value if v is not None)))
+                self.wanted.append((name, frozenset(said(v) for v in f.value if v is not None)))
             elif name and isinstance(f, StringStartsWith):
-                self.wanted.append((name, f"sha1:{f.value}" if digest else f.value))
+                self.wanted.append((name, said(f.value)))
             elif name and isinstance(f, IsNotNull):
                 self.wanted.append((name, None))
             else:
@@ -205,7 +218,7 @@ class WarcReader(DataSourceReader):
         fs, _ = file_system(self.path)
         rows: list[dict] = []
         size = 0
-        arrow = pa.schema([("record_type", pa.string()), ("record_id", pa.string()), ("target_uri", pa.string()), ("date", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("refers_to", pa.string()), ("row_id", pa.int64()), ("refers_to_row_id", pa.int64()), ("headers", pa.map_(pa.string(), pa.string())), ("payload", pa.binary())])
+        arrow = pa.schema([("record_type", pa.string()), ("record_id", pa.string()), ("target_uri", pa.string()), ("date", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("refers_to", pa.string()), ("row_id", pa.string()), ("refers_to_row_id", pa.string()), ("headers", pa.map_(pa.string(), pa.string())), ("payload", pa.binary())])
         with fs.open_input_file(partition.path) as file:
             source = _Gzip(file) if partition.path.endswith(".gz") else _Plain(file)
             for head, payload_of in source.records(partition.start, partition.end):
@@ -238,10 +251,10 @@ class WarcReader(DataSourceReader):
             digest, length = real, len(payload)
         else:
             length = int(head[LENGTH.lower()]) if LENGTH.lower() in head else None
-        number = lambda k: int(head[k]) if re.fullmatch(r"-?\d+", head.get(k, "")) else None
+        given = lambda k: unquote(head[k]) if k in head else None
         return {
             "record_type": head.get("warc-type"), "record_id": head.get("warc-record-id"), "target_uri": head.get("warc-target-uri"), "date": head.get("warc-date"), "payload_digest": digest, "payload_bytes": length,
-            "refers_to": head.get("warc-refers-to"), "row_id": number(ROW.lower()), "refers_to_row_id": number(REFERS.lower()), "headers": list(head.items()), "payload": payload,
+            "refers_to": head.get("warc-refers-to"), "row_id": given(ROW.lower()), "refers_to_row_id": given(REFERS.lower()), "headers": list(head.items()), "payload": payload,
         }
 
 
@@ -396,16 +409,18 @@ class _Gzip:
 def archived(pages: DataFrame, *, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
     """Pages as input rows of the writer: of rows with equal payloads those with the smallest id are responses, the others revisit it.
 
-    Defined results: a null html is an empty payload; a null id sorts last, and where all ids are
+    Ids are of any type with an order that a string holds. Defined results: a null html is an empty payload; a null id sorts last, and where all ids are
     null all rows are responses; rows that repeat the smallest id are responses all. Only the
     digests of payloads that occur more than once are joined back.
     """
-    read = pages.select(F.col(id_column).cast("bigint").alias("row_id"), F.col(url_column).alias("target_uri"), F.coalesce(html_column, F.lit("")).cast("binary").alias("payload"))
+    read = pages.select(F.col(id_column).alias("row_id"), F.col(url_column).alias("target_uri"), F.coalesce(html_column, F.lit("")).cast("binary").alias("payload"))
     keys = [F.sha1("payload").alias("digest"), F.xxhash64("payload").alias("check")]
-    shared = read.select("row_id", *keys).groupBy("digest", "check").agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("first")).where("n > 1").drop("n")
+    place = F.struct(F.col("row_id").isNull().alias("none"), F.col("row_id").alias("id"), F.col("target_uri").alias("uri"))
+    shared = read.select("row_id", "target_uri", *keys).groupBy("digest", "check").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1 and not first.none").drop("n")
     joined = read.select("*", *keys).join(written(shared), ["digest", "check"], "left")
-    revisit = F.col("first").isNotNull() & (F.col("row_id").isNull() | (F.col("row_id") > F.col("first")))
-    return joined.select("row_id", F.when(revisit, "revisit").otherwise("response").alias("record_type"), "target_uri", "payload", F.when(revisit, F.col("first")).alias("refers_to_row_id"))
+    revisit = F.col("first").isNotNull() & (F.col("row_id").isNull() | (F.col("row_id") > F.col("first.id")))
+    own = F.when(revisit, F.col("first"))
+    return joined.select(F.col("row_id").cast("string").alias("row_id"), F.when(revisit, "revisit").otherwise("response").alias("record_type"), "target_uri", "payload", own["id"].cast("string").alias("refers_to_row_id"), own["uri"].alias("refers_to_uri"))
 
 
 def write_archives(records: DataFrame, path: str, **options) -> None:
@@ -425,4 +440,5 @@ def round_trip(pages: DataFrame, *, id_column: str = "page_id", url_column: str
     path = f"{shared_dir(pages.sparkSession)}/warc"
     write_archives(archived(pages, id_column=id_column, url_column=url_column, html_column=html_column), path)
     found = read_archives(pages.sparkSession, path, verify="true")
-    return found.select(F.col("row_id").alias(id_column), "payload_bytes", "payload_digest", "record_type", F.col("refers_to_row_id").alias("refers_to"), "target_uri")
+    kind = pages.schema[id_column].dataType
+    return found.select(F.col("row_id").cast(kind).alias(id_column), "payload_bytes", "payload_digest", "record_type", F.col("refers_to_row_id").cast(kind).alias("refers_to"), F.col("refers_to").alias("refers_to_record"), "target_uri")

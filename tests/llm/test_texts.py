@@ -306,6 +306,59 @@ def test_quality_counts_all_trusted_texts(spark, monkeypatch):
     assert rows == [df.where(~perplexity.unseen("doc_id")).count()]
 
 
+class SlowKneserNey:
+    """Interpolated modified Kneser-Ney over bytes by its definition."""
+
+    def __init__(self, texts, order):
+        raw = [Counter(t[i : i + k] for t in texts for i in range(len(t) - k + 1)) for k in range(order + 2)]
+        self.c = [{}] + [raw[k] if k == order + 1 else {g: max(1, sum(1 for b in range(256) if bytes([b]) + g in raw[k + 1])) for g in raw[k]} for k in range(1, order + 2)]
+        self.order, self.off, self.total, self.leave = order, [None], [None], [None]
+        for k in range(1, order + 2):
+            n = [sum(1 for v in self.c[k].values() if v == m) for m in range(5)]
+            y = n[1] / (n[1] + 2 * n[2]) if n[1] + 2 * n[2] else None
+            d = [0.0] + [max(0.05, min(m - 0.05, m - (m + 1) * y * n[m + 1] / n[m] if y is not None and n[m] else m - 0.5)) for m in (1, 2, 3)]
+            self.off.append({g: d[min(3, v)] for g, v in self.c[k].items()})
+            total, off = Counter(), Counter()
+            for g, v in self.c[k].items():
+                total[g[:-1]] += v
+                off[g[:-1]] += self.off[k][g]
+            self.total.append(total)
+            self.leave.append({x: off[x] / total[x] for x in total})
+
+    def p(self, g):
+        if not g:
+            return 1 / 256
+        k, context = len(g), g[:-1]
+        if context not in self.total[k]:
+            return self.p(g[1:])
+        own = max(0.0, self.c[k].get(g, 0) - self.off[k].get(g, 0.0)) / self.total[k][context]
+        return own + self.leave[k][context] * self.p(g[1:])
+
+    def perplexity(self, text):
+        bits = -sum(np.log2(self.p(text[max(0, i - self.order) : i + 1])) for i in range(len(text)))
+        return 2 ** (bits / len(text))
+
+
+@pytest.mark.parametrize("most_rows", [10**6, 0])
+def test_perplexity_like_the_definition(spark, most_rows):
+    """By the broadcast table and by joins."""
+    from fluxmere.llm.perplexity import unseen
+
+    rng = random.Random(9)
+    rows = [(k, babble("aa" if k % 2 else "bb", rng, 12), "aa" if k % 2 else "bb") for k in range(24)] + [(30, "zq \xff\u4e2d", "aa"), (31, babble("aa", rng, 5), None), (32, "", "aa"), (33, None, "bb"), (33, "e", "bb")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    trusted = df.where("doc_id < 24").select("doc_id")
+    seen = {r.doc_id for r in trusted.where(~unseen("doc_id")).collect()}
+    models = {m: SlowKneserNey([t.encode() for k, t, lang in rows if k in seen and lang == m], 4) for m in ("aa", "bb")}
+    want = []
+    for k, t, lang in rows:
+        raw = (t or "").encode()
+        want.append((k, len(raw), min(models[m].perplexity(raw) for m in ([lang] if lang else models)) if raw else -1.0))
+    got = sorted((r.doc_id, r.n_bytes, -1.0 if r.perplexity is None else r.perplexity) for r in classify(df, trusted, most_rows=most_rows).collect())
+    assert [x[:2] for x in got] == [x[:2] for x in sorted(want)]
+    assert [x[2] for x in got] == pytest.approx([x[2] for x in sorted(want)], rel=1e-4)
+
+
 def test_kneser_ney_sums_to_one(spark):
     from fluxmere.llm.backoff import gram_counts
     from fluxmere.llm.perplexity import coders, kneser_ney
