@@ -88,6 +88,33 @@ def test_families_of_one_template(spark):
     assert {(r.doc_id, k) for r in found.collect() for k in r.removed_lines} == {(2 * k + 1, 0) for k in range(300)}
 
 
+@pytest.mark.parametrize("whole", [100, 4096])
+def test_crowded_buckets(spark, monkeypatch, whole):
+    """4,000 twins among lines that share a boilerplate: strangers at 0.65 to 0.7 fill the buckets, whichever way these are compared."""
+    import fluxmere.llm.lines as lines
+
+    monkeypatch.setattr(lines, "WHOLE", whole)
+    rng = random.Random(13)
+    boiler = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=330))
+    rows = []
+    for k in range(2000):
+        own = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=72))
+        rows += [(2 * k, boiler + own), (2 * k + 1, boiler + own + "!")]
+    found = line_report(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4))
+    gone = {r.doc_id for r in found.collect() for k in r.removed_lines}
+    assert len(gone & set(range(1, 4000, 2))) >= 0.995 * 2000
+    assert gone <= set(range(1, 4000, 2))
+
+
+def test_exact_needs_no_bands(spark):
+    rows = corpus()[:150]
+    found = dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), exact=True)
+    kept = {r.doc_id: r.text for r in found.collect()}
+    gone = expected(rows)
+    want = {doc: "\n".join(x for no, x in enumerate((text or "").split("\n")) if (doc, no) not in gone) for doc, text in rows}
+    assert kept == want
+
+
 def test_edges(spark):
     rows = [(2, "Same line here\nunique one\n\nsame line here  "), (1, "same LINE here"), (None, "same line here\nlast words"), (3, None), (4, ""), (5, "\n\n"), (6, "ß"), (7, "ß\nSS"), (7, "ß\nSS"), (8, "x" * 30_000), (9, "x" * 30_000)]
     df = spark.createDataFrame([(*r, "a", 1, "c") for r in rows], "doc_id bigint, text string, source string, removed int, in_0 string")
