@@ -7,10 +7,10 @@ a band's value are candidates, if enough of all their values agree. A candidate
 sets, computed from the texts, reaches the threshold. Of each connected component of links the line that comes first stays.
 
 A bucket of SMALL lines or fewer is compared whole. In a larger one every line is compared with HUBS members first, chosen by
-hashes; a large group of near copies mostly becomes one component that way, at a few comparisons a line. Where a larger
-bucket is then still in more than one component, lines of different ones are compared: all of them in buckets of up to WHOLE lines, which
-their MinHash values nearly decide; in larger ones by blocks of lines that share one of their rarest shingles. Lines
-that reach the threshold share one of these, so no pair of a bucket is left over. Every line is sent by its hash, never by
+hashes; a large group of near copies mostly becomes one component that way, at a few comparisons a line. Lines of a larger
+bucket that is then still in more than one component go on to blocks of lines that share one of their rarest shingles: lines
+that reach the threshold share one, so comparing each block's lines with those of its other components leaves no pair
+of a bucket over. Every line is sent by its hash, never by
 its document, equal lines are counted before they are sent, and tables that joins look things up in are written first, so that Spark
 splits what joins on a frequent value.
 """
@@ -34,8 +34,8 @@ AGREE = 5
 THRESHOLD = 0.8
 #: Before all shingles of two lines are compared, one in so many is, by its hash; lines of LONG characters or more take fewer.
 LONG, RATE_SHORT, RATE_LONG = 250, 2, 4
-#: Largest bucket that is compared whole at once, members of a larger one that all others are compared with first, and largest one whose components are compared whole then.
-SMALL, HUBS, WHOLE = 16, 3, 4096
+#: Largest bucket that is compared whole, and members of a larger one that all others are compared with first.
+SMALL, HUBS = 64, 4
 #: What line ends leave at a line's ends.
 BLANKS = " \t\r\f\x0b"
 UNIT = 2  # bytes of a UTF-16 unit
@@ -181,7 +181,7 @@ def _pairs_of(ids: str) -> Column:
 
 
 def candidates(found: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(a, b), a < b: the pairs to compare first, from signatures; and (key, id, n) of the buckets of over SMALL lines."""
+    """(a, b), a < b: the pairs to compare first, from signatures; and (key, id) of the buckets of over SMALL lines."""
     keys = found.select("id", F.explode("keys").alias("key"))
     # Most shared keys are those of two lines, which their ends tell.
     counted = released(scratch.written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("a"), F.max("id").alias("b")).where("n > 1")))
@@ -197,22 +197,14 @@ def candidates(found: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame
     agreed = pairs.join(lanes[0], "a").join(lanes[1], "b").where(_agreeing("lanes_a", "lanes_b") >= AGREE).select("a", "b")
     out = released(scratch.written(agreed))
     scratch.drop(counted, shared, hubs, pairs)
-    return out, crowded
+    return out, crowded.select("key", "id")
 
 
 def _left_over(crowded: DataFrame, linked: DataFrame, scratch: Scratch) -> DataFrame:
-    """(key, id, n, component) of the lines in crowded buckets that aren't one component; a line that links to none is its own."""
-    own = scratch.written(crowded.join(linked, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component")))
+    """(id, component) of the lines in crowded buckets that aren't one component; a line that links to none is its own."""
+    own = scratch.written(crowded.join(linked, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")))
     mixed = scratch.written(own.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("key"))
-    return own.join(mixed, "key")
-
-
-def bucket_pairs(left: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
-    """(a, b), a < b: every two lines of a bucket (key, id, component), of bounded size, in different components whose MinHash values agree enough."""
-    rows = scratch.written(left.join(found.select("id", "lanes"), "id").select("key", "id", "component", "lanes"))
-    a, b = (rows.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "component", "lanes"))) for x in "ab")
-    meet = (F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & (_agreeing("lanes_a", "lanes_b") >= AGREE)
-    return a.join(b, "key").where(meet).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    return own.join(mixed, "key").select("id", "component").distinct()
 
 
 def _prefixes(left: DataFrame, lines: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
@@ -270,11 +262,7 @@ def line_components(lines: DataFrame, threshold: float = THRESHOLD, scratch: Scr
     left = scratch.written(_left_over(crowded, linked, scratch))
     if left.isEmpty():
         return linked
-    pairs = bucket_pairs(left.where(F.col("n") <= WHOLE), found, scratch)
-    huge = left.where(F.col("n") > WHOLE).select("id", "component").distinct()
-    if not huge.isEmpty():
-        pairs = pairs.union(block_pairs(scratch.written(huge), lines, threshold, scratch)).distinct()
-    more = verified(released(scratch.written(pairs)), lines, threshold, scratch)
+    more = verified(released(scratch.written(block_pairs(left, lines, threshold, scratch))), lines, threshold, scratch)
     return linked if more.isEmpty() else components(links.union(more))
 
 
