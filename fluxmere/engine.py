@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .errors import BAD_REQUEST, INTERNAL, NOT_FOUND, EngineError
 from .net import filters as net_filters
@@ -123,6 +126,30 @@ class Engine:
     def preview(self, name: str, page: int = 1, page_size: int | None = None) -> DataFrame:
         return self.frames.preview(name.removeprefix(f"{FRAME}."), page, page_size)
 
+    # Arrow.
+
+    def read_arrow(self, name: str, sql: str | None = None) -> Iterator[pa.RecordBatch]:
+        """A channel, or a statement over it, as Arrow record batches, partition by partition."""
+        df = self.execute(sql).df if sql else self.channel(name)
+        schema = to_arrow_schema(df.schema)
+        as_bytes = df.mapInArrow(_serialized, "batch binary")
+        found = False
+        for row in as_bytes.toLocalIterator(prefetchPartitions=True):
+            with pa.ipc.open_stream(bytes(row.batch)) as stream:
+                yield from stream
+            found = True
+        if not found:
+            yield pa.RecordBatch.from_pylist([], schema=schema)
+
+    def write_arrow(self, name: str, table: pa.Table) -> int:
+        """An Arrow table into a frame or a database table; how many rows."""
+        held = f"arrow_{uuid.uuid4().hex}"
+        self.table(f"arrow.{held}", self.spark.createDataFrame(table))
+        try:
+            return self.execute(f"SELECT * FROM arrow.{held} INTO {name}").rows
+        finally:
+            del self._tables[f"arrow.{held}"]
+
     def task_service(self, **options):
         if self.tasks is None:
             from .tasks import TaskService
@@ -282,5 +309,14 @@ class Engine:
         return QueryResult(self.spark.createDataFrame([(what, name)], "kind string, name string"), "", 1)
 
 
+def _serialized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each batch as one value in Arrow's stream format."""
+    for batch in batches:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, batch.schema) as stream:
+            stream.write_batch(batch)
+        yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["batch"])
+
+
 def _short(e: Exception) -> str:
     return str(e).strip().split("\n")[0][:500]

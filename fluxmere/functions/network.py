@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ipaddress
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,6 +37,27 @@ def cidr_match(ip: Column, network: str) -> Column:
     return ip_to_long(ip).between(low, low + (1 << (32 - n)) - 1)
 
 
+def cidr6_match(ip: Column, network: str) -> Column:
+    """Whether an IPv6 address lies in 2001:db8::/32; false for anything else. Addresses have too many spellings for expressions."""
+    try:
+        held = ipaddress.IPv6Network(network, strict=False)
+    except ValueError:
+        raise EngineError(f"bad IPv6 network: {network}") from None
+
+    def inside(x: str | None) -> bool:
+        try:
+            return x is not None and ":" in x and ipaddress.IPv6Address(x) in held
+        except ValueError:
+            return False
+
+    @F.pandas_udf("boolean")
+    def match(column: pd.Series) -> pd.Series:
+        known = {x: inside(x) for x in column.unique()}
+        return column.map(known).astype(bool)
+
+    return match(ip)
+
+
 def ip_in_range(ip: Column, low: str, high: str) -> Column:
     return ip_to_long(ip).between(number_of(low), number_of(high))
 

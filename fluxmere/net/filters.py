@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import EngineError
-from ..functions.network import cidr_match, ip_in_range, mac_normal, port_in
+from ..functions.network import cidr6_match, cidr_match, ip_in_range, mac_normal, port_in
 from ..operators.base import Operator
 
 
@@ -27,7 +27,7 @@ def _ip(column: Column, spec: str) -> Column:
         low, high = spec.split("-", 1)
         return ip_in_range(column, low, high)
     if ":" in spec:
-        return column == spec.lower()
+        return cidr6_match(column, spec)
     return cidr_match(column, spec)
 
 

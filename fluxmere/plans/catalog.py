@@ -59,4 +59,4 @@ ORACLES["flagship_segment_granularity"] = (
     "FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderdate >= timestamp '1995-01-01 00:00:00' AND o_orderdate <= timestamp '1996-12-31 23:59:59' GROUP BY 1, 2"
 )
 
-from . import network, operators, relational, streams  # noqa: E402, F401  they register themselves
+from . import channels, models, network, operators, relational, streams  # noqa: E402, F401  they register themselves
