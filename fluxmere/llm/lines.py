@@ -165,13 +165,13 @@ def verified(pairs: DataFrame, lines: DataFrame, threshold: float, scratch: Scra
     unlike = both.where("long_a <> long_b").select("a", "b", coarse("a").alias("x"), coarse("b").alias("y"))
     shared, either = F.size(F.array_intersect("x", "y")).alias("shared"), F.size(F.array_union("x", "y")).alias("either")
     counted = scratch.written(alike.union(unlike).select("a", "b", shared, either))
-    left = scratch.written(counted.where(F.col("shared") >= threshold * F.col("either") - 4 * F.sqrt(threshold * (1 - threshold) * F.col("either"))).select("a", "b"))
+    left = counted.where(F.col("shared") >= threshold * F.col("either") - 4 * F.sqrt(threshold * (1 - threshold) * F.col("either"))).select("a", "b")
     texts = released(scratch.written(_looked_up(left, lines)))
     sides = _sides(texts, "norm")
     # Arrays first, sets of them in an operation of its own, and the filter on what is written: each is computed once and, but for the first, compiled.
     arrays = left.join(sides[0], "a").join(sides[1], "b").select("a", "b", _hashes("norm_a").alias("x"), _hashes("norm_b").alias("y"))
     compared = scratch.written(arrays.select("a", "b", shared, either))
-    scratch.drop(samples, counted, left, texts)
+    scratch.drop(samples, counted, texts)
     return compared.where(F.col("shared") >= threshold * F.col("either") - 1e-9).select("a", "b")
 
 
@@ -192,11 +192,11 @@ def candidates(found: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame
     picks = [F.min("id"), F.max("id"), *(F.min_by("id", F.xxhash64("id", F.lit(k))) for k in range(HUBS - 2))]
     hubs = scratch.written(crowded.groupBy("key").agg(F.array_distinct(F.array(*picks)).alias("hubs")))
     spokes = crowded.join(hubs, "key").select("id", F.explode("hubs").alias("hub")).where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
-    pairs = scratch.written(counted.where("n = 2").select("a", "b").union(small.select(F.explode(_pairs_of("ids")).alias("p")).select("p.a", "p.b")).union(spokes).distinct())
+    pairs = counted.where("n = 2").select("a", "b").union(small.select(F.explode(_pairs_of("ids")).alias("p")).select("p.a", "p.b")).union(spokes).distinct()
     lanes = [found.select(F.col("id").alias(x), F.col("lanes").alias(f"lanes_{x}")) for x in "ab"]
     agreed = pairs.join(lanes[0], "a").join(lanes[1], "b").where(_agreeing("lanes_a", "lanes_b") >= AGREE).select("a", "b")
     out = released(scratch.written(agreed))
-    scratch.drop(counted, shared, hubs, pairs)
+    scratch.drop(counted, shared, hubs)
     return out, crowded.select("key", "id")
 
 
@@ -259,6 +259,8 @@ def line_components(lines: DataFrame, threshold: float = THRESHOLD, scratch: Scr
     pairs, crowded = candidates(found, scratch)
     links = verified(pairs, lines, threshold, scratch)
     linked = components(links)
+    if crowded.isEmpty():
+        return linked
     left = scratch.written(_left_over(crowded, linked, scratch))
     if left.isEmpty():
         return linked
