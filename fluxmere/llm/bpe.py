@@ -38,7 +38,7 @@ WORD_PIECE = 4_096
 #: Runs that a window reaches into either side at first, tokens in a long word.
 WINDOW = 4
 #: Runs that a Python worker remembers; when it has so many it starts anew.
-REMEMBERED = 120_000
+REMEMBERED = 300_000
 #: Longer runs aren't remembered.
 LONGEST_REMEMBERED = 64
 #: Characters for which Python's lower() and split() do what the tokenizer's normalizer does: Latin-1 without the separators 1C to 1F.
@@ -56,11 +56,23 @@ class Tree:
     blank: str | None = None
 
     def runs(self) -> Iterator[str]:
+        """The runs of all pieces, and those that go on across a cut, so that most windows find theirs learnt with the batch."""
         stack = [self]
         while stack:
             x = stack.pop()
             yield from x.own
-            stack += [y for y in (x.left, x.right) if y is not None]
+            if x.left is not None and x.right is not None:
+                stack += [x.left, x.right]
+                before, after = x.left._edge(-1), x.right._edge(0)
+                if not x.parted and max(len(before), len(after)) <= LONGEST_REMEMBERED:
+                    yield from (r for r in (before + after).split(x.blank) if r)
+
+    def _edge(self, k: int) -> str:
+        """The first (0) or last (-1) run of the piece at this end."""
+        x = self
+        while x.left is not None and x.right is not None:
+            x = (x.left, x.right)[k]
+        return x.own[k] if x.own else ""
 
 
 class TreeEncoder:
@@ -120,7 +132,8 @@ class TreeEncoder:
                 self.memory.clear()
             for r in [r for r in self.memory if len(r) > LONGEST_REMEMBERED and r not in runs]:
                 del self.memory[r]
-        new = list(runs - self.memory.keys())
+        # Set less view would walk all that is remembered, at every cut.
+        new = [r for r in runs if r not in self.memory]
         rare = [r for r in new if r[0] == " " or len(r) > self.word_piece // 4]
         for r in rare:
             if r[0] == " ":
@@ -173,7 +186,7 @@ class TreeEncoder:
             a, b = max(0, len(left) - reach), min(len(right), reach)
             text = " ".join(left[a:]) + (" " if tree.parted else "") + " ".join(right[:b])
             window = [r for r in text.split(tree.blank) if r]
-            self._learn(set(window) - self.memory.keys(), keep=True)
+            self._learn({r for r in window if r not in self.memory}, keep=True)
             # A side that the window takes whole has nothing left to agree with.
             if (a == 0 or self._agree(window[:1], left[a : a + 1])) and (b == len(right) or self._agree(window[-1:], right[b - 1 : b])):
                 return [*left[:a], *window, *right[b:]]

@@ -137,6 +137,35 @@ def test_word_joins_compare_tokens():
     assert glued != coder.whole.encode(word, add_special_tokens=False).ids
 
 
+def test_cuts_do_not_walk_the_memory(monkeypatch):
+    """What a cut costs doesn't grow with the runs that are remembered, and runs across cuts are learnt with the batch."""
+
+    class Watched(dict):
+        walks = 0
+
+        def keys(self):
+            self.walks += 1
+            return super().keys()
+
+        def __iter__(self):
+            self.walks += 1
+            return super().__iter__()
+
+    coder = bpe.TreeEncoder(PATH, 64)
+    coder.memory = Watched()
+    learn, late = bpe.TreeEncoder._learn, []
+
+    def watched(self, runs, keep=False):
+        late.extend(runs if keep else [])
+        learn(self, runs, keep)
+
+    monkeypatch.setattr(bpe.TreeEncoder, "_learn", watched)
+    text = " ".join(f"wort{k}stamm{k}" for k in range(700))
+    assert coder.encode([text])[0].tolist() == coder.whole.encode(text, add_special_tokens=False).ids
+    assert coder.memory.walks <= 2
+    assert late == []
+
+
 def test_added_token_flags_are_refused(tmp_path):
     import json
 
