@@ -18,6 +18,7 @@ splits what joins on a frequent value.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,8 +33,8 @@ BANDS, ROWS = 6, 2
 #: Values that must agree, of all: of pairs at the threshold one in 1,700 has fewer.
 AGREE = 5
 THRESHOLD = 0.8
-#: Before all shingles of two lines are compared, one in so many is, by its hash; lines of LONG characters or more take fewer.
-LONG, RATE_SHORT, RATE_LONG = 250, 2, 4
+#: 64-bit words of the parities that bound how many shingles two lines differ in.
+WORDS = 8
 #: Largest bucket that is compared whole, and members of a larger one that all others are compared with first.
 SMALL, HUBS = 64, 4
 #: What line ends leave at a line's ends.
@@ -135,44 +136,69 @@ def _looked_up(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     return ids.hint("shuffle_hash").join(lines.select("id", "norm"), "id")
 
 
-def samples_of(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """(id, sample, long) of the lines in pairs: shingle hashes that are divisible by RATE_SHORT or, for a long line, RATE_LONG, as 31-bit numbers."""
-    found = _looked_up(pairs, lines).select("id", "norm", (F.length("norm") >= LONG).alias("long"))
-    rate = F.when(F.col("long"), RATE_LONG - 1).otherwise(RATE_SHORT - 1).cast("bigint")
-    taken = F.when(F.col("h").bitwiseAND(rate) == 0, F.col("h").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
-    # What isn't taken goes before it is gathered, but for a row of each line, whose sample may be empty.
-    kept = _exploded(found, "id", "long").select("id", "long", "at", taken.alias("taken")).where("taken is not null or at = 1")
-    return kept.groupBy("id").agg(F.collect_set("taken").alias("sample"), F.max("long").alias("long"))
-
-
 def _sides(table: DataFrame, *columns: str) -> list[DataFrame]:
     """The table once for either line of a pair."""
     return [table.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns)) for x in "ab"]
 
 
+def _shingles(held: DataFrame, *kept: str) -> DataFrame:
+    """(kept, size, h): a row for each shingle of the rows (kept, norm), once, and how many these are."""
+    arrays = held.select(*kept, F.array_distinct(_hashes("norm")).alias("all"))
+    return arrays.select(*kept, F.size("all").alias("size"), F.explode("all").alias("h"))
+
+
+def _parities(rows: DataFrame) -> DataFrame:
+    """(id, size, words): for each bit of WORDS numbers, whether an odd number of the line's shingles (id, size, h), each there once, hash to it.
+
+    A bit in which two lines differ takes a shingle that only one of them has, so lines that differ in more bits than the
+    threshold allows shingles can't reach it. Nothing that reaches it is lost.
+    """
+    bit, word = F.expr("shiftleft(1L, cast(h & 63 as int))"), F.shiftright("h", 6).bitwiseAND(F.lit(WORDS - 1))
+    return rows.groupBy("id", "size").agg(F.struct(*(F.bit_xor(F.when(word == k, bit).otherwise(F.lit(0).cast("bigint"))).alias(f"w{k}") for k in range(WORDS))).alias("words"))
+
+
+def _close(threshold: float) -> Column:
+    """Whether sizes and parities of a pair allow it to reach the threshold."""
+    differ = reduce(Column.__add__, (F.bit_count(F.col(f"words_a.w{k}").bitwiseXOR(F.col(f"words_b.w{k}"))) for k in range(WORDS)))
+    sized = F.least("size_a", "size_b") >= threshold * F.greatest("size_a", "size_b") - 1e-6
+    return sized & (differ <= (1 - threshold) / (1 + threshold) * (F.col("size_a") + F.col("size_b")) + 1e-6)
+
+
 def verified(pairs: DataFrame, lines: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) whose lines are similar enough.
+    """The pairs (a, b) whose lines are similar enough, compared by all shingles.
 
-    Samples of their shingles, chosen by hash and so alike in both, are compared first: a pair goes if their similarity is
-    over four deviations below the threshold. The pairs that are left are compared by all shingles.
+    Texts travel to their pairs and are hashed there: compressed, they are smaller than even a fourth of their shingles' hashes.
     """
-    samples = scratch.written(samples_of(pairs, lines))
-    sides = _sides(samples, "sample", "long")
-    # A short line meets a long one by the hashes that both would take.
-    coarse = lambda x: F.filter(f"sample_{x}", lambda h: h % RATE_LONG == 0)
-    both = pairs.join(sides[0], "a").join(sides[1], "b")
-    alike = both.where("long_a = long_b").select("a", "b", F.col("sample_a").alias("x"), F.col("sample_b").alias("y"))
-    unlike = both.where("long_a <> long_b").select("a", "b", coarse("a").alias("x"), coarse("b").alias("y"))
-    shared, either = F.size(F.array_intersect("x", "y")).alias("shared"), F.size(F.array_union("x", "y")).alias("either")
-    counted = scratch.written(alike.union(unlike).select("a", "b", shared, either))
-    left = counted.where(F.col("shared") >= threshold * F.col("either") - 4 * F.sqrt(threshold * (1 - threshold) * F.col("either"))).select("a", "b")
-    texts = released(scratch.written(_looked_up(left, lines)))
+    texts = released(scratch.written(_looked_up(pairs, lines)))
     sides = _sides(texts, "norm")
     # Arrays first, sets of them in an operation of its own, and the filter on what is written: each is computed once and, but for the first, compiled.
-    arrays = left.join(sides[0], "a").join(sides[1], "b").select("a", "b", _hashes("norm_a").alias("x"), _hashes("norm_b").alias("y"))
+    arrays = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", _hashes("norm_a").alias("x"), _hashes("norm_b").alias("y"))
+    shared, either = F.size(F.array_intersect("x", "y")).alias("shared"), F.size(F.array_union("x", "y")).alias("either")
     compared = scratch.written(arrays.select("a", "b", shared, either))
-    scratch.drop(samples, counted, texts)
-    return compared.where(F.col("shared") >= threshold * F.col("either") - 1e-9).select("a", "b")
+    scratch.drop(texts)
+    return released(compared).where(F.col("shared") >= threshold * F.col("either") - 1e-9).select("a", "b")
+
+
+def linked_pairs(pairs: DataFrame, lines: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    """(id, component) of the lines that links among the pairs (a, b, agree) join.
+
+    Every line meets the one before it that agrees with it in most values first. Pairs inside a component that these links make
+    change nothing more; of the others those are compared that sizes and parities leave.
+    """
+    best = scratch.written(pairs.groupBy("b").agg(F.max_by("a", F.struct("agree", "a")).alias("a")).select("a", "b"))
+    linked = components(verified(best, lines, threshold, scratch))
+    of = [linked.select(F.col("id").alias(x), F.col("component").alias(f"component_{x}")) for x in "ab"]
+    apart = F.coalesce("component_a", "a") != F.coalesce("component_b", "b")
+    rest = scratch.written(pairs.select("a", "b").join(of[0], "a", "left").join(of[1], "b", "left").where(apart).select("a", "b").join(best, ["a", "b"], "left_anti"))
+    sides = _sides(scratch.written(_parities(_shingles(_looked_up(rest, lines), "id"))), "size", "words")
+    near = released(scratch.written(rest.join(sides[0], "a").join(sides[1], "b").where(_close(threshold)).select("a", "b")))
+    more = verified(near, lines, threshold, scratch)
+    return linked if more.isEmpty() else joined(linked, more)
+
+
+def joined(linked: DataFrame, more: DataFrame) -> DataFrame:
+    """(id, component) after further links (a, b)."""
+    return components(linked.where("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b")).union(more))
 
 
 def _pairs_of(ids: str) -> Column:
@@ -181,7 +207,7 @@ def _pairs_of(ids: str) -> Column:
 
 
 def candidates(found: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(a, b), a < b: the pairs to compare first, from signatures; and (key, id) of the buckets of over SMALL lines."""
+    """(a, b, agree), a < b: the pairs to compare first, from signatures, with how many values agree; and (key, id) of the buckets of over SMALL lines."""
     keys = found.select("id", F.explode("keys").alias("key"))
     # Most shared keys are those of two lines, which their ends tell.
     counted = released(scratch.written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("a"), F.max("id").alias("b")).where("n > 1")))
@@ -194,7 +220,7 @@ def candidates(found: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame
     spokes = crowded.join(hubs, "key").select("id", F.explode("hubs").alias("hub")).where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
     pairs = counted.where("n = 2").select("a", "b").union(small.select(F.explode(_pairs_of("ids")).alias("p")).select("p.a", "p.b")).union(spokes).distinct()
     lanes = [found.select(F.col("id").alias(x), F.col("lanes").alias(f"lanes_{x}")) for x in "ab"]
-    agreed = pairs.join(lanes[0], "a").join(lanes[1], "b").where(_agreeing("lanes_a", "lanes_b") >= AGREE).select("a", "b")
+    agreed = pairs.join(lanes[0], "a").join(lanes[1], "b").select("a", "b", _agreeing("lanes_a", "lanes_b").alias("agree")).where(F.col("agree") >= AGREE)
     out = released(scratch.written(agreed))
     scratch.drop(counted, shared, hubs)
     return out, crowded.select("key", "id")
@@ -208,20 +234,21 @@ def _left_over(crowded: DataFrame, linked: DataFrame, scratch: Scratch) -> DataF
 
 
 def _prefixes(left: DataFrame, lines: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
-    """(h, id, component, size, at, first): the rarest shingles of the lines (id, component), as many as leave too few others to reach the threshold.
+    """(h, id, component, size, at, first, words): the rarest shingles of the lines (id, component), as many as leave too few others to reach the threshold.
 
     at is a shingle's place in the line's order from rare to frequent, which is the same order for all lines; ones that no
-    other line has are left out. first tells those that are enough to meet a line that is no smaller.
+    other line has are left out. first tells those that are enough to meet a line that is no smaller. words: see _parities.
     """
-    held = left.hint("shuffle_hash").join(lines.select("id", "norm"), "id").select("id", "component", F.array_distinct(_hashes("norm")).alias("all"))
-    rows = scratch.written(held.select("id", "component", F.size("all").alias("size"), F.explode("all").alias("h")))
+    rows = scratch.written(_shingles(left.hint("shuffle_hash").join(lines.select("id", "norm"), "id"), "id", "component"))
     often = scratch.written(rows.groupBy("h").agg(F.count(F.lit(1)).alias("often")).where("often > 1"))
+    words = scratch.written(_parities(rows)).drop("size")
     by_line = rows.join(often, "h").groupBy("id", "component", "size").agg(F.array_sort(F.collect_list(F.struct("often", "h"))).alias("order"))
     ranked = by_line.select("id", "component", "size", (F.col("size") - F.size("order")).alias("rare"), F.posexplode("order").alias("k", "one"))
     at = F.col("rare") + F.col("k")
     # A little less than the products, whose rounding must not shorten a prefix.
     last, first = (F.col("size") - F.ceil(share * F.col("size") - 1e-6) for share in (threshold, 2 * threshold / (1 + threshold)))
-    return ranked.select(F.col("one.h").alias("h"), "id", "component", "size", at.alias("at"), (at <= first).alias("first"), (at <= last).alias("kept")).where("kept").drop("kept")
+    kept = ranked.select(F.col("one.h").alias("h"), "id", "component", "size", at.alias("at"), (at <= first).alias("first"), (at <= last).alias("kept")).where("kept").drop("kept")
+    return kept.join(words, "id")
 
 
 def block_pairs(left: DataFrame, lines: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
@@ -229,20 +256,20 @@ def block_pairs(left: DataFrame, lines: DataFrame, threshold: float, scratch: Sc
 
     Of two lines that reach it the first shingle in both prefixes is the first that they share, so sizes and its places bound
     what they share. The smaller line needs a shorter prefix only, so shingles that most lines share, which come late, meet nothing.
+    Parities of all shingles bound what they don't share.
     """
     rows = scratch.written(_prefixes(left, lines, threshold, scratch))
     counts = rows.groupBy("h", "component").agg(F.count(F.lit(1)).alias("n"))
     # Lines of a block's largest component meet the others only, so that near copies already linked aren't paired.
     blocks = scratch.written(counts.groupBy("h").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("components")).where("components > 1").select("h", "main"))
     held = scratch.written(rows.join(blocks, "h"))
-    a, b = (held.select("h", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "component", "size", "at", "first", "main"))) for x in "ab")
+    a, b = (held.select("h", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "component", "size", "at", "first", "main", "words"))) for x in "ab")
     a = a.where("component_a <> main_a")
     shared = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b"))
     enough = shared >= threshold / (1 + threshold) * (F.col("size_a") + F.col("size_b")) - 1e-6
     once = (F.col("component_b") == F.col("main_b")) | (F.col("id_a") < F.col("id_b"))
     larger = (F.col("size_a") > F.col("size_b")) | ((F.col("size_a") == F.col("size_b")) & (F.col("id_a") > F.col("id_b")))
-    sized = F.least("size_a", "size_b") >= threshold * F.greatest("size_a", "size_b") - 1e-6
-    meet = (F.col("component_a") != F.col("component_b")) & once & sized & enough
+    meet = (F.col("component_a") != F.col("component_b")) & once & enough & _close(threshold)
     met = a.where("first_a").join(b, "h").where(~larger & meet).select("id_a", "id_b").union(a.join(b.where("first_b"), "h").where(larger & meet).select("id_a", "id_b"))
     return met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
 
@@ -257,15 +284,15 @@ def line_components(lines: DataFrame, threshold: float = THRESHOLD, scratch: Scr
         return components(verified(pairs, lines, threshold, scratch))
     found = scratch.written(signatures(lines))
     pairs, crowded = candidates(found, scratch)
-    links = verified(pairs, lines, threshold, scratch)
-    linked = components(links)
+    scratch.drop(found)
+    linked = linked_pairs(pairs, lines, threshold, scratch)
     if crowded.isEmpty():
         return linked
     left = scratch.written(_left_over(crowded, linked, scratch))
     if left.isEmpty():
         return linked
     more = verified(released(scratch.written(block_pairs(left, lines, threshold, scratch))), lines, threshold, scratch)
-    return linked if more.isEmpty() else components(links.union(more))
+    return linked if more.isEmpty() else joined(linked, more)
 
 
 def removed_lines(documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD, exact: bool = False) -> DataFrame:

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
+from fluxmere.llm import lines as lines_module
 from fluxmere.llm.lines import BLANKS, SHINGLE, dedup_lines, line_report
 
 WORDS = [f"{a}{b}{c}" for a in "bdkmt" for b in "aeiou" for c in ("", "n", "r", "st")]
@@ -102,6 +103,43 @@ def test_crowded_buckets(spark):
     assert gone <= set(range(1, 4000, 2))
 
 
+def test_few_pairs_are_compared(spark, monkeypatch):
+    """Of 60 near copies, and of 60 strangers at 0.65 to 0.7, only a few of all 1,770 pairs each are compared by all shingles."""
+    rng = random.Random(17)
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    copy, boiler = ("".join(rng.choices(letters, k=330)) for _ in range(2))
+    rows = [(k, copy[:150] + rng.choice(letters) + copy[150:] + rng.choice(letters) * (k % 7)) for k in range(60)]
+    rows += [(100 + k, boiler + "".join(rng.choices(letters, k=72))) for k in range(60)]
+    compared, compare = [], lines_module.verified
+
+    def counted(pairs, *more):
+        compared.append(pairs.count())
+        return compare(pairs, *more)
+
+    monkeypatch.setattr(lines_module, "verified", counted)
+    found = line_report(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4))
+    gone = {r.doc_id for r in found.collect() for k in r.removed_lines}
+    assert gone == set(range(1, 60))
+    assert sum(compared) < 500
+
+
+def test_parities_lose_no_pair(spark):
+    """Bounds from sizes and parities hold for lines with repeated shingles, just at the threshold and far from it."""
+    rng = random.Random(19)
+    pairs = [("a" * 12 + "b", "a" * 300 + "b"), ("a" * 40, "a" * 15), ("short", "short"), ("ab" * 90, "ab" * 99), ("x" * 19, "y" * 19)]
+    for k in range(300):
+        line = "".join(rng.choices("abcde ", k=rng.randint(10, 600)))
+        line += line[: rng.choice([0, 0, 40])]
+        pairs.append((line, line[: max(1, len(line) * (70 + k % 31) // 100)]))
+    rows = [(2 * k + j, x) for k, p in enumerate(pairs) for j, x in enumerate(p)]
+    table = lines_module._parities(lines_module._shingles(spark.createDataFrame(rows, "id bigint, norm string"), "id"))
+    sides = lines_module._sides(table, "size", "words")
+    both = sides[0].join(sides[1], sides[1].b == sides[0].a + 1).where("a % 2 = 0")
+    close = {r.a // 2 for r in both.where(lines_module._close(0.8)).collect()}
+    alike = {k for k, (x, y) in enumerate(pairs) if len(shingles(x) & shingles(y)) >= 0.8 * len(shingles(x) | shingles(y))}
+    assert alike <= close and len(alike) > 100 and len(close) < len(pairs) - 50
+
+
 def test_exact_needs_no_bands(spark):
     rows = corpus()[:150]
     found = dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), exact=True)
