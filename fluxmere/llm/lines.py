@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, released, written
+from .common import Scratch, delete, released, written
 from .components import components
 
 #: Characters of a shingle (UTF-16 units: one beyond the basic plane counts as two); a shorter line is one shingle.
@@ -70,13 +70,15 @@ class _Buckets:
         self.spark: SparkSession = df.sparkSession
         self.name = f"fluxmere_lines_{uuid.uuid4().hex}"
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        df.write.format("parquet").option("compression", "zstd").option("path", scratch.folder()).bucketBy(n, "id").saveAsTable(self.name)
+        self.folder = scratch.folder()
+        df.write.format("parquet").option("compression", "zstd").option("path", self.folder).bucketBy(n, "id").saveAsTable(self.name)
 
     def __enter__(self) -> DataFrame:
         return self.spark.table(self.name)
 
     def __exit__(self, *_) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        delete(self.spark, self.folder)
 
 
 def _wide(norm: str) -> Column:
@@ -243,11 +245,14 @@ def _prefixes(left: DataFrame, lines: DataFrame, threshold: float, scratch: Scra
     often = scratch.written(rows.groupBy("h").agg(F.count(F.lit(1)).alias("often")).where("often > 1"))
     words = scratch.written(_parities(rows)).drop("size")
     by_line = rows.join(often, "h").groupBy("id", "component", "size").agg(F.array_sort(F.collect_list(F.struct("often", "h"))).alias("order"))
-    ranked = by_line.select("id", "component", "size", (F.col("size") - F.size("order")).alias("rare"), F.posexplode("order").alias("k", "one"))
-    at = F.col("rare") + F.col("k")
     # A little less than the products, whose rounding must not shorten a prefix.
     last, first = (F.col("size") - F.ceil(share * F.col("size") - 1e-6) for share in (threshold, 2 * threshold / (1 + threshold)))
-    kept = ranked.select(F.col("one.h").alias("h"), "id", "component", "size", at.alias("at"), (at <= first).alias("first"), (at <= last).alias("kept")).where("kept").drop("kept")
+    rare = F.col("size") - F.size("order")
+    # What the prefix doesn't reach is cut off before rows are made of it.
+    prefix = F.slice("order", F.lit(1), F.greatest(last - rare + 1, F.lit(0)).cast("int"))
+    ranked = by_line.select("id", "component", "size", rare.alias("rare"), first.alias("first"), F.posexplode(prefix).alias("k", "one"))
+    at = F.col("rare") + F.col("k")
+    kept = ranked.select(F.col("one.h").alias("h"), "id", "component", "size", at.alias("at"), (at <= F.col("first")).alias("first"))
     return kept.join(words, "id")
 
 
@@ -282,9 +287,8 @@ def line_components(lines: DataFrame, threshold: float = THRESHOLD, scratch: Scr
     if exact:
         pairs = scratch.written(block_pairs(lines.select("id", F.col("id").alias("component")), lines, threshold, scratch))
         return components(verified(pairs, lines, threshold, scratch))
-    found = scratch.written(signatures(lines))
-    pairs, crowded = candidates(found, scratch)
-    scratch.drop(found)
+    with _Buckets(signatures(lines), scratch) as found:  # so that only pairs travel to the values they are told by
+        pairs, crowded = candidates(found, scratch)
     linked = linked_pairs(pairs, lines, threshold, scratch)
     if crowded.isEmpty():
         return linked
