@@ -6,6 +6,9 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
+from fluxmere.llm import perplexity
 from fluxmere.llm.common import size_words, words
 from fluxmere.llm.html import extract, main_text
 from fluxmere.llm.language import UNKNOWN, fit, identify, predict_languages, ppm_coder, reject_unknown
@@ -280,6 +283,22 @@ def test_quality(spark):
     assert all(r.kept == bool(r.n_bytes) for r in none)
 
 
+def test_few_untrusted_texts_are_sent(spark):
+    """Rows that can't be trusted go before the join; no trusted one does, and ids of another type pass whole."""
+    rows = spark.range(3000).selectExpr("id - 1000 as id", "'x' as text")
+    ids = rows.where("id % 60 = 0").select(F.col("id").alias("trusted_id"))
+    left = {r.id for r in perplexity._maybe_trusted(rows, ids).collect()}
+    assert {k for k in range(-1000, 2000) if k % 60 == 0} <= left and len(left) < 100
+    names = rows.selectExpr("concat('d', id) as id", "text")
+    assert {r.id for r in perplexity._maybe_trusted(names, names.where("id like '%7'").select(F.col("id").alias("trusted_id"))).collect()} >= {f"d{k}" for k in range(7, 2000, 10)}
+    assert perplexity._maybe_trusted(rows, ids.selectExpr("cast(trusted_id as string) as trusted_id")) is rows
+    # The filter stays below the join that sends texts.
+    found = perplexity._trusted(rows, ids)
+    joins = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x]
+    assert len(joins) == 2 and "trusted_id" in joins[0] and "word" in joins[1]
+    assert {r.id for r in found.collect()} == {r.trusted_id for r in ids.collect()}
+
+
 def test_quality_by_the_quantile_of_unseen_texts(spark):
     """With 100 unseen trusted texts or more the quantile alone decides: texts with one letter in twenty changed go."""
     from fluxmere.llm.perplexity import unseen
