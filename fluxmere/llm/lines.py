@@ -7,10 +7,11 @@ a band's value are candidates, if enough of all their values agree. A candidate
 sets, computed from the texts, reaches the threshold. Of each connected component of links the line that comes first stays.
 
 A bucket of SMALL lines or fewer is compared whole. In a larger one every line is compared with HUBS members first, chosen by
-hashes; a large group of near copies mostly becomes one component that way, at a few comparisons a line. Lines of a larger
-bucket that is then still in more than one component go on to blocks of lines that share one of their rarest shingles: lines
-that reach the threshold share one, so comparing each block's lines with those of its other components leaves no pair
-of a bucket over. Every line is sent by its hash, never by
+hashes; a large group of near copies mostly becomes one component that way, at a few comparisons a line. In a larger
+bucket that is then still in more than one component lines outside the largest one meet some of its members, and what is still outside
+is held against all lines of the bucket by bounds that lose no pair. Where more than OUTSIDERS lines are outside, the bucket's lines
+go on to blocks of lines that share one of their rarest shingles instead: lines that reach the threshold share one, so comparing each block's
+lines with those of its other components leaves no pair of a bucket over. Every line is sent by its hash, never by
 its document, equal lines are counted before they are sent, and tables that joins look things up in are written first, so that Spark
 splits what joins on a frequent value.
 """
@@ -37,6 +38,10 @@ THRESHOLD = 0.8
 WORDS = 8
 #: Largest bucket that is compared whole, and members of a larger one that all others are compared with first.
 SMALL, HUBS = 64, 4
+#: Members of a larger bucket's largest component that lines of its others meet before blocks are made, and how many of these a line is compared with.
+MEMBERS, BEST = 8, 3
+#: Lines outside a bucket's largest component that all of its lines are then held against by sizes and parities, which up to about so many takes less than a line's shingles do.
+OUTSIDERS = 2048
 #: What line ends leave at a line's ends.
 BLANKS = " \t\r\f\x0b"
 UNIT = 2  # bytes of a UTF-16 unit
@@ -159,11 +164,15 @@ def _parities(rows: DataFrame) -> DataFrame:
     return rows.groupBy("id", "size").agg(F.struct(*(F.bit_xor(F.when(word == k, bit).otherwise(F.lit(0).cast("bigint"))).alias(f"w{k}") for k in range(WORDS))).alias("words"))
 
 
+def _differing() -> Column:
+    """In how many parities a pair's lines differ."""
+    return reduce(Column.__add__, (F.bit_count(F.col(f"words_a.w{k}").bitwiseXOR(F.col(f"words_b.w{k}"))) for k in range(WORDS)))
+
+
 def _close(threshold: float) -> Column:
     """Whether sizes and parities of a pair allow it to reach the threshold."""
-    differ = reduce(Column.__add__, (F.bit_count(F.col(f"words_a.w{k}").bitwiseXOR(F.col(f"words_b.w{k}"))) for k in range(WORDS)))
     sized = F.least("size_a", "size_b") >= threshold * F.greatest("size_a", "size_b") - 1e-6
-    return sized & (differ <= (1 - threshold) / (1 + threshold) * (F.col("size_a") + F.col("size_b")) + 1e-6)
+    return sized & (_differing() <= (1 - threshold) / (1 + threshold) * (F.col("size_a") + F.col("size_b")) + 1e-6)
 
 
 def verified(pairs: DataFrame, lines: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
@@ -228,42 +237,76 @@ def candidates(found: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame
     return out, crowded.select("key", "id")
 
 
-def _left_over(crowded: DataFrame, linked: DataFrame, scratch: Scratch) -> DataFrame:
-    """(id, component) of the lines in crowded buckets that aren't one component; a line that links to none is its own."""
+def _mixed(crowded: DataFrame, linked: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, id, component) of the lines in crowded buckets that aren't one component; a line that links to none is its own."""
     own = scratch.written(crowded.join(linked, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")))
-    mixed = scratch.written(own.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("key"))
-    return own.join(mixed, "key").select("id", "component").distinct()
+    several = scratch.written(own.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("key"))
+    return scratch.written(own.join(several, "key"))
+
 
+def _with_main(mixed: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, id, component) with the largest component of the bucket, main, and the number of lines outside it, outsiders."""
+    counts = mixed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    main = counts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), (F.sum("n") - F.max("n")).alias("outsiders"))
+    return scratch.written(mixed.join(scratch.written(main), "key"))
 
-def _prefixes(left: DataFrame, lines: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
-    """(h, id, component, size, at, first, words): the rarest shingles of the lines (id, component), as many as leave too few others to reach the threshold.
+
+def member_pairs(mixed: DataFrame, words: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    """(a, b), a < b: every line of the buckets (key, id, component) that isn't of a bucket's largest component, and the BEST of MEMBERS of that one's lines by sizes and parities (id, size, words).
+
+    Most lines that link to a large component link to many of its lines, so a few comparisons leave few of them to the blocks,
+    where they would meet all of its lines.
+    """
+    held = _with_main(mixed, scratch)
+    picks = [F.min_by("id", F.xxhash64("id", "key", F.lit(k))) for k in range(MEMBERS)]
+    members = scratch.written(held.where("component = main").groupBy("key").agg(F.array_distinct(F.array(*picks)).alias("members")))
+    met = held.where("component <> main").join(members, "key").select(F.col("id").alias("a"), F.explode("members").alias("b")).distinct()
+    sides = _sides(words, "size", "words")
+    near = met.join(sides[0], "a").join(sides[1], "b").where(_close(threshold)).select("a", F.struct((_differing() / (F.col("size_a") + F.col("size_b"))).alias("far"), "b").alias("one"))
+    # At most MEMBERS for each of a line's bands.
+    best = near.groupBy("a").agg(F.slice(F.array_sort(F.collect_list("one")), 1, BEST).alias("best")).select("a", F.explode("best.b").alias("b"))
+    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def outsider_pairs(held: DataFrame, words: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    """(a, b), a < b: every two lines of a bucket (key, id, component, main) in different components that may reach the threshold by sizes and parities (id, size, words)."""
+    # A line's buckets, BANDS at most, tell which is the first that two lines share; only there they are a pair.
+    buckets = held.groupBy("id").agg(F.collect_set("key").alias("keys"))
+    told = scratch.written(held.join(buckets, "id").join(words, "id"))
+    a, b = (told.select("key", "main", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "component", "keys", "size", "words"))) for x in "ab")
+    once = (F.col("component_b") == F.col("main")) | (F.col("id_a") < F.col("id_b"))
+    first = F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("key")
+    met = a.where("component_a <> main").join(b.drop("main"), "key").where((F.col("component_a") != F.col("component_b")) & once & _close(threshold) & first)
+    return met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
+
+
+def _prefixes(left: DataFrame, rows: DataFrame, words: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    """(h, id, component, size, at, first, words): of the lines (id, component) with shingles (id, size, h) the rarest ones, as many as leave too few others to reach the threshold.
 
     at is a shingle's place in the line's order from rare to frequent, which is the same order for all lines; ones that no
     other line has are left out. first tells those that are enough to meet a line that is no smaller. words: see _parities.
     """
-    rows = scratch.written(_shingles(left.hint("shuffle_hash").join(lines.select("id", "norm"), "id"), "id", "component"))
     often = scratch.written(rows.groupBy("h").agg(F.count(F.lit(1)).alias("often")).where("often > 1"))
-    words = scratch.written(_parities(rows)).drop("size")
-    by_line = rows.join(often, "h").groupBy("id", "component", "size").agg(F.array_sort(F.collect_list(F.struct("often", "h"))).alias("order"))
+    by_line = rows.join(often, "h").groupBy("id", "size").agg(F.array_sort(F.collect_list(F.struct("often", "h"))).alias("order"))
     # A little less than the products, whose rounding must not shorten a prefix.
     last, first = (F.col("size") - F.ceil(share * F.col("size") - 1e-6) for share in (threshold, 2 * threshold / (1 + threshold)))
     rare = F.col("size") - F.size("order")
     # What the prefix doesn't reach is cut off before rows are made of it.
     prefix = F.slice("order", F.lit(1), F.greatest(last - rare + 1, F.lit(0)).cast("int"))
-    ranked = by_line.select("id", "component", "size", rare.alias("rare"), first.alias("first"), F.posexplode(prefix).alias("k", "one"))
+    ranked = by_line.select("id", "size", rare.alias("rare"), first.alias("first"), F.posexplode(prefix).alias("k", "one"))
     at = F.col("rare") + F.col("k")
-    kept = ranked.select(F.col("one.h").alias("h"), "id", "component", "size", at.alias("at"), (at <= F.col("first")).alias("first"))
-    return kept.join(words, "id")
+    kept = ranked.select(F.col("one.h").alias("h"), "id", "size", at.alias("at"), (at <= F.col("first")).alias("first"))
+    return kept.join(words.select("id", "words").join(left, "id"), "id")
 
 
-def block_pairs(left: DataFrame, lines: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
-    """(a, b), a < b: every two of the lines (id, component) in different components that may reach the threshold.
+def block_pairs(left: DataFrame, rows: DataFrame, words: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    """(a, b), a < b: every two of the lines (id, component), of shingles (id, size, h) and parities, in different components that may reach the threshold.
 
     Of two lines that reach it the first shingle in both prefixes is the first that they share, so sizes and its places bound
     what they share. The smaller line needs a shorter prefix only, so shingles that most lines share, which come late, meet nothing.
     Parities of all shingles bound what they don't share.
     """
-    rows = scratch.written(_prefixes(left, lines, threshold, scratch))
+    rows = scratch.written(_prefixes(left, rows, words, threshold, scratch))
     counts = rows.groupBy("h", "component").agg(F.count(F.lit(1)).alias("n"))
     # Lines of a block's largest component meet the others only, so that near copies already linked aren't paired.
     blocks = scratch.written(counts.groupBy("h").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("components")).where("components > 1").select("h", "main"))
@@ -285,17 +328,32 @@ def line_components(lines: DataFrame, threshold: float = THRESHOLD, scratch: Scr
         with Scratch(lines.sparkSession) as own:
             return line_components(lines, threshold, own, exact)
     if exact:
-        pairs = scratch.written(block_pairs(lines.select("id", F.col("id").alias("component")), lines, threshold, scratch))
+        rows = scratch.written(_shingles(lines.select("id", "norm"), "id"))
+        words = scratch.written(_parities(rows))
+        pairs = scratch.written(block_pairs(lines.select("id", F.col("id").alias("component")), rows, words, threshold, scratch))
         return components(verified(pairs, lines, threshold, scratch))
     with _Buckets(signatures(lines), scratch) as found:  # so that only pairs travel to the values they are told by
         pairs, crowded = candidates(found, scratch)
     linked = linked_pairs(pairs, lines, threshold, scratch)
     if crowded.isEmpty():
         return linked
-    left = scratch.written(_left_over(crowded, linked, scratch))
-    if left.isEmpty():
+    mixed = _mixed(crowded, linked, scratch)
+    if mixed.isEmpty():
         return linked
-    more = verified(released(scratch.written(block_pairs(left, lines, threshold, scratch))), lines, threshold, scratch)
+    words = scratch.written(_parities(_shingles(mixed.select("id").distinct().hint("shuffle_hash").join(lines.select("id", "norm"), "id"), "id")))
+    more = verified(scratch.written(member_pairs(mixed, words, threshold, scratch)), lines, threshold, scratch)
+    if not more.isEmpty():
+        linked = joined(linked, more)
+        mixed = _mixed(mixed.select("key", "id"), linked, scratch)
+        if mixed.isEmpty():
+            return linked
+    held = _with_main(mixed, scratch)
+    pairs = scratch.written(outsider_pairs(held.where(F.col("outsiders") <= OUTSIDERS), words, threshold, scratch))
+    left = scratch.written(held.where(F.col("outsiders") > OUTSIDERS).select("id", "component").distinct())
+    if not left.isEmpty():
+        rows = scratch.written(_shingles(left.select("id").hint("shuffle_hash").join(lines.select("id", "norm"), "id"), "id"))
+        pairs = scratch.written(pairs.union(block_pairs(left, rows, words, threshold, scratch)).distinct())
+    more = verified(released(pairs), lines, threshold, scratch)
     return linked if more.isEmpty() else joined(linked, more)
 
 

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from fluxmere.llm import lines as lines_module
+from fluxmere.llm.common import Scratch
 from fluxmere.llm.lines import BLANKS, SHINGLE, dedup_lines, line_report
 
 WORDS = [f"{a}{b}{c}" for a in "bdkmt" for b in "aeiou" for c in ("", "n", "r", "st")]
@@ -123,6 +124,54 @@ def test_few_pairs_are_compared(spark, monkeypatch):
     assert sum(compared) < 500
 
 
+def test_outsiders_of_a_large_group(spark, monkeypatch):
+    """A large group of copies at 0.8 and less to each other is mostly linked by a few members before all of it meets what is outside."""
+    rng = random.Random(23)
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    copy = "".join(rng.choices(letters, k=400))
+    rows = []
+    for k in range(400):
+        own = list(copy)
+        for at in rng.sample(range(400), rng.randint(1, 7)):
+            own[at] = rng.choice(letters)
+        rows.append((k, "".join(own)))
+    want = {doc for doc, _ in expected(rows)}
+    made, meet = [], lines_module.outsider_pairs
+
+    def counted(*args):
+        out = meet(*args)
+        made.append(out.count())
+        assert made[-1] == out.distinct().count()
+        return out
+
+    monkeypatch.setattr(lines_module, "outsider_pairs", counted)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+
+    def gone():
+        return {r.doc_id for r in line_report(df).collect() if r.removed_lines}
+
+    direct = gone()
+    assert 0 < sum(made) < 3000  # 3,707 where all of it met in blocks at once
+    monkeypatch.setattr(lines_module, "OUTSIDERS", 0)  # by blocks
+    assert direct <= want and gone() <= want and len(direct) >= 0.995 * len(want)
+
+
+def test_outsiders_meet_in_their_first_bucket(spark):
+    """Every pair of a bucket in different components is met once, however many buckets it shares."""
+    rng = random.Random(29)
+    text = "".join(rng.choices("abcdefgh ", k=300))
+    lines = spark.createDataFrame([(k, text + "x" * k) for k in range(12)], "id bigint, norm string")
+    words = lines_module._parities(lines_module._shingles(lines, "id"))
+    buckets = {1: range(8), 2: range(4, 12), 3: range(2, 10)}
+    component = {k: 0 if k < 5 else k for k in range(12)}
+    rows = [(key, k, component[k], 0, 0) for key, ids in buckets.items() for k in ids]
+    held = spark.createDataFrame(rows, "key bigint, id bigint, component bigint, main bigint, outsiders bigint")
+    with Scratch(spark) as scratch:
+        found = [(r.a, r.b) for r in lines_module.outsider_pairs(held, words, 0.8, scratch).collect()]
+    want = {(a, b) for ids in buckets.values() for a in ids for b in ids if a < b and component[a] != component[b]}
+    assert sorted(found) == sorted(want)
+
+
 def test_parities_lose_no_pair(spark):
     """Bounds from sizes and parities hold for lines with repeated shingles, just at the threshold and far from it."""
     rng = random.Random(19)
