@@ -42,6 +42,8 @@ SMALL, HUBS = 64, 4
 MEMBERS, BEST = 8, 3
 #: Lines outside a bucket's largest component that all of its lines are then held against by sizes and parities, which up to about so many takes less than a line's shingles do.
 OUTSIDERS = 2048
+#: Words of the bits that tell keys of over two lines.
+FILTER_WORDS = 1 << 20
 #: What line ends leave at a line's ends.
 BLANKS = " \t\r\f\x0b"
 UNIT = 2  # bytes of a UTF-16 unit
@@ -217,13 +219,20 @@ def _pairs_of(ids: str) -> Column:
     return F.flatten(F.transform(F.col(ids), lambda a, k: F.transform(F.slice(F.col(ids), k + 2, F.size(ids)), lambda b: F.struct(a.alias("a"), b.alias("b")))))
 
 
+def _perhaps_among(keys: DataFrame, shared: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows (id, key) whose key is among those of shared, and some others: a broadcast table of bits, FILTER_WORDS 64-bit words at most, keeps most keys of one or two lines from being sent."""
+    word, bit = F.shiftright("key", 6).bitwiseAND(F.lit(FILTER_WORDS - 1)), F.expr("shiftleft(1L, cast(key & 63 as int))")
+    bits = scratch.written(shared.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")))
+    return keys.join(F.broadcast(bits), word == F.col("word")).where(F.col("bits").bitwiseAND(bit) != 0).select("id", "key")
+
+
 def candidates(found: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(a, b, agree), a < b: the pairs to compare first, from signatures, with how many values agree; and (key, id) of the buckets of over SMALL lines."""
     keys = found.select("id", F.explode("keys").alias("key"))
     # Most shared keys are those of two lines, which their ends tell.
     counted = released(scratch.written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("a"), F.max("id").alias("b")).where("n > 1")))
     shared = scratch.written(counted.where("n > 2").select("key", "n"))
-    held = released(scratch.written(keys.join(shared, "key").select("key", "id", "n")))
+    held = released(scratch.written(_perhaps_among(keys, shared, scratch).join(shared, "key").select("key", "id", "n")))
     small = held.where(F.col("n") <= SMALL).groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     crowded = held.where(F.col("n") > SMALL)
     picks = [F.min("id"), F.max("id"), *(F.min_by("id", F.xxhash64("id", F.lit(k))) for k in range(HUBS - 2))]
