@@ -13,7 +13,7 @@ from .catalog import query
 
 
 def _streamed(spark: SparkSession, sf_dir: str, make, mode: str = "complete") -> DataFrame:
-    """make(stream) run to the end of the events, in a memory table of its own."""
+    """make(stream) run to the end of the events, in files of its own: results grow with the events, so the driver doesn't hold them."""
     root = shared_folder(spark)
     name = f"stream_{uuid.uuid4().hex}"
     # A stream's files must be in a folder of their own.
@@ -22,8 +22,9 @@ def _streamed(spark: SparkSession, sf_dir: str, make, mode: str = "complete") ->
     events.write.parquet(path)
     runner = StreamRunner(spark, f"{root}/streams")
     stream = spark.readStream.schema(events.schema).parquet(path)
-    runner.start(name, make(stream), mode=mode).awaitTermination()
-    return spark.table(name)
+    made = make(stream)
+    runner.start(name, made, sink="parquet", path=f"{root}/{name}-out", mode=mode).awaitTermination()
+    return runner.written(f"{root}/{name}-out", made.schema, mode=mode)
 
 
 @query("SELECT make_timestamp((epoch_us(ts) // 3600000000) * 3600000000) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
