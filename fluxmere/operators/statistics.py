@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import functools
+import math
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import INTERNAL, EngineError
@@ -10,6 +14,8 @@ from .base import Operator, columns_of, is_numeric, number, require
 
 #: Buckets of a histogram when no number is given.
 BINS = 10
+#: Half the width of a bracket around a quantile, as a share of the rows: three times the error of approximate ones.
+BRACKET = 3e-4
 
 
 def basic(frames: list[DataFrame], params: dict[str, str]) -> DataFrame:
@@ -87,12 +93,37 @@ def normalize(frames: list[DataFrame], params: dict[str, str]) -> DataFrame:
 
 
 def quantiles(frames: list[DataFrame], params: dict[str, str]) -> DataFrame:
-    """column_name, q, value at `probabilities` (0.5,0.9,0.99 by default), semicolon-separated."""
+    """column_name, q, value at `probabilities` (0.5,0.9,0.99 by default), semicolon-separated: the least value that q of the rows don't exceed.
+
+    Exact, in two scans: approximate quantiles give a bracket around each one, then only values inside brackets are told
+    apart, at most some thousandth of the rows for each q besides equal values, and all others are counted. A frame that
+    differs from scan to scan may miss its brackets and then has approximate ones.
+    """
     df = frames[0]
     names = columns_of(df, params)
     qs = [float(x) for x in params.get("probabilities", "0.5;0.9;0.99").split(";")]
-    sums = df.agg(*(F.percentile_approx(F.col(f"`{c}`").cast("double"), qs, 10_000).alias(f"c{k}") for k, c in enumerate(names)))
-    return sums.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column_name"), F.lit(q).alias("q"), F.col(f"c{k}")[j].alias("value")) for k, c in enumerate(names) for j, q in enumerate(qs)))))
+    # NaN is the greatest value, which approximate quantiles don't know; a bracket that holds infinity holds it too.
+    finite = lambda x: F.nanvl(x, F.lit(math.inf))
+    columns = [F.col(f"`{c}`").cast("double") for c in names]
+    probes = [p for q in qs for p in (max(0.0, q - BRACKET), q, min(1.0, q + BRACKET))]
+    near = df.agg(*(F.struct(F.lit(k).alias("k"), F.count(x).alias("n"), F.percentile_approx(finite(x), probes, 10_000).alias("b")).alias(f"c{k}") for k, x in enumerate(columns)))
+    near = near.select(F.inline(F.array(*(f"c{k}" for k in range(len(names))))))
+    long = df.select(F.explode(F.array(*(F.struct(F.lit(k).alias("k"), x.alias("x")) for k, x in enumerate(columns)))).alias("r")).select("r.*").where("x is not null")
+    low = [F.col("b")[3 * j] if q > BRACKET else F.lit(-math.inf) for j, q in enumerate(qs)]
+    high = [F.col("b")[3 * j + 2] if q < 1 - BRACKET else F.lit(math.inf) for j, q in enumerate(qs)]
+    y = finite(F.col("x"))
+    inside = functools.reduce(Column.__or__, ((a <= y) & (y <= b) for a, b in zip(low, high, strict=True)))
+    # Values between brackets come just before the next one; those beyond the last don't matter.
+    place = F.when(inside, F.col("x")).otherwise(F.array_min(F.array(*(F.when(a > y, a) for a in low))))
+    counted = long.join(F.broadcast(near), "k").groupBy("k", "n", "b", place.alias("at"), inside.alias("inside")).agg(F.count(F.lit(1)).alias("m")).where("at is not null")  # a row for each column named in the query
+    summed = counted.withColumn("upto", F.sum("m").over(Window.partitionBy("k").orderBy("at", "inside").rowsBetween(Window.unboundedPreceding, 0)))
+    picks = []
+    for k in range(len(names)):
+        for j, q in enumerate(qs):
+            rank = F.greatest(F.lit(1), F.ceil(F.lit(round(Decimal(repr(q)), 18)) * F.col("n").cast("decimal(20,0)")))
+            found = F.min(F.when((F.col("k") == k) & (F.col("upto") >= rank), F.struct("at", "inside")))
+            picks.append(F.when(found["inside"], found["at"]).otherwise(F.max(F.when(F.col("k") == k, F.col("b")[3 * j + 1]))).alias(f"p{k}_{j}"))
+    return summed.agg(*picks).select(F.inline(F.array(*(F.struct(F.lit(c).alias("column_name"), F.lit(q).alias("q"), F.col(f"p{k}_{j}").alias("value")) for k, c in enumerate(names) for j, q in enumerate(qs)))))
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -103,7 +134,7 @@ OPERATORS = [
     Operator("statistic", "basic", basic, "count, mean, deviation, quantiles"),
     Operator("statistic", "hist", hist, "histogram of equal widths"),
     Operator("statistic", "correlation", correlation, "Pearson correlation of each pair"),
-    Operator("statistic", "quantiles", quantiles, "approximate quantiles"),
+    Operator("statistic", "quantiles", quantiles, "quantiles"),
     Operator("stats", "summary", summary, "summary in long form"),
     Operator("filter", "threshold", threshold, "rows over a threshold"),
     Operator("transform", "normalize", normalize, "z-scores"),
