@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -178,25 +179,21 @@ def capture_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id + 1 AS packet_no, CASE WHEN event_id % 4 IN (1, 2) THEN 54 ELSE 42 END + event_id % 5 AS caplen, ts FROM events")
 def capture_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Captures written as files, a file a task, and read as a channel; packets are numbered in their file by the time of their event."""
+    """Captures written as files, one or more a task, and read as a channel; packets are numbered in their file, and so on over files in order."""
     from ..session import shared_folder
     from ..sources import pcap
 
-    rows = packets(spark, sf_dir).select("packet_no", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "packet").orderBy("packet_no").coalesce(1)
-    folder = f"{shared_folder(spark).removeprefix('file://').removeprefix('file:')}/capture-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}"
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pathlib import Path
-
-        Path(folder).mkdir(parents=True, exist_ok=True)
-        frames = [(a / 1e6, p) for b in batches for a, p in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-        (Path(folder) / "all.pcap").write_bytes(pcap.dump(frames))
-        yield pa.RecordBatch.from_arrays([pa.array([len(frames)])], names=["n"])
-
-    assert rows.mapInArrow(write, "n bigint").agg(F.sum("n")).first()[0]
+    rows = packets(spark, sf_dir).select("packet_no", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "packet").orderBy("packet_no").select("at", "packet")
+    folder = f"{shared_folder(spark)}/capture-{uuid.uuid4().hex}"
+    starts, before = [], 0
+    for name, n in pcap.write(rows, folder):
+        starts.append((name, before))
+        before += n
     engine = Engine(spark)
     engine.files("ss.capture", folder, "pcap")
-    return engine.execute("SELECT packet_no, cast(caplen AS bigint) AS caplen, cast(ts AS timestamp_ntz) AS ts FROM ss.capture").df
+    found = engine.execute("SELECT substring_index(file, '/', -1) AS name, packet_no, cast(caplen AS bigint) AS caplen, cast(ts AS timestamp_ntz) AS ts FROM ss.capture").df
+    # A row for each file.
+    return found.join(F.broadcast(spark.createDataFrame(starts, "name string, before bigint")), "name").select((F.col("before") + F.col("packet_no")).alias("packet_no"), "caplen", "ts")
 
 
 @query("SELECT event_id AS packet_no, cast(least(20, CASE WHEN event_id % 4 IN (1, 2) THEN 54 ELSE 42 END + event_id % 5) AS int) AS cut, cast(CASE WHEN event_id % 4 IN (1, 2) THEN 54 ELSE 42 END + least(2, event_id % 5) AS int) AS headers FROM events")

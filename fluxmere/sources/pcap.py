@@ -10,6 +10,7 @@ from datetime import UTC, datetime, timedelta
 
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
@@ -19,6 +20,9 @@ SCHEMA = "file string, packet_no bigint, ts timestamp, caplen int, len int, pack
 MAGIC = {0xA1B2C3D4: 1_000_000, 0xA1B23C4D: 1_000_000_000}
 GLOBAL, RECORD = 24, 16
 BATCH_BYTES = 4 << 20
+#: What a file that we write starts with, and the bytes after which a task goes on in another one: a file is read by one task.
+HEAD = struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1)
+FILE_BYTES = 64 << 20
 EPOCH = datetime(1970, 1, 1, tzinfo=UTC)
 
 
@@ -54,7 +58,7 @@ class PcapReader(DataSourceReader):
     def partitions(self) -> list[Capture]:
         fs, root = _fs(self.path)
         info = fs.get_file_info(root)
-        files = [info] if info.is_file else [x for x in fs.get_file_info(pafs.FileSelector(root, recursive=True)) if x.is_file]
+        files = [info] if info.is_file else [x for x in fs.get_file_info(pafs.FileSelector(root, recursive=True)) if x.is_file and not x.base_name.startswith(".")]
         return [Capture(x.path) for x in files] or [Capture("")]
 
     def read(self, partition: Capture) -> Iterator[pa.RecordBatch]:
@@ -66,7 +70,7 @@ class PcapReader(DataSourceReader):
             rows, size = [], 0
             for row in packets(file, partition.path):
                 rows.append(row)
-                size += row["caplen"]
+                size += RECORD + row["caplen"]
                 if size >= BATCH_BYTES:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
                     rows, size = [], 0
@@ -95,12 +99,43 @@ def packets(file, name: str) -> Iterator[dict]:
 
 def dump(frames: list[tuple[float, bytes]]) -> bytes:
     """A capture file of (seconds, packet)."""
-    out = [struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1)]
+    out = [HEAD]
     for at, data in frames:
         out.append(struct.pack("<IIII", int(at), round(at % 1 * 1_000_000), len(data), len(data)) + data)
     return b"".join(out)
 
 
+def write(rows: DataFrame, folder: str, *, file_bytes: int = FILE_BYTES) -> list[tuple[str, int]]:
+    """Writes rows of (microseconds, packet) as capture files of about file_bytes at most; returns (name, packets) of each.
+
+    In order of their names the files hold the rows in order of partitions. A task keeps one batch of rows, not a file.
+    """
+    fs, root = _fs(folder.rstrip("/"))
+    fs.create_dir(root, recursive=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = _fs(folder.rstrip("/"))
+        context = TaskContext.get()
+        rows, done = ((a, d) for b in batches for a, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)), []
+        row = next(rows, None)
+        while row is not None:
+            name, size, n = f"part-{context.partitionId():06d}-{len(done):06d}.pcap", len(HEAD), 0
+            # Under a name of its own attempt until it is whole.
+            with fs.open_output_stream(f"{root}/.{name}.{context.taskAttemptId()}", compression=None, buffer_size=1 << 20) as file:
+                file.write(HEAD)
+                while row is not None and (not n or size < file_bytes):
+                    at, data = row
+                    file.write(struct.pack("<IIII", *divmod(at, 1_000_000), len(data), len(data)) + data)
+                    size, n = size + RECORD + len(data), n + 1
+                    row = next(rows, None)
+            fs.move(f"{root}/.{name}.{context.taskAttemptId()}", f"{root}/{name}")
+            done.append((name, n))
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in done], pa.string()), pa.array([n for _, n in done], pa.int64())], names=["name", "n"])
+
+    # Two values for each file of FILE_BYTES.
+    return sorted(map(tuple, rows.mapInArrow(run, "name string, n bigint").collect()))
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     spark.dataSource.register(PcapSource)
     return spark.read.format("pcap").load(path)

@@ -124,3 +124,41 @@ def test_applications_in_sql(spark, tmp_path):
     stats = engine.execute("SELECT * FROM ss.packets USING npm.basic WITH idle=5").df
     assert stats.count() == 2
     assert engine.execute("SELECT * FROM dataframe.seen USING capture.ipaddress WITH value='10.0.0.1' THEN npi.protocols").df.count() == 2
+
+
+def test_captures_in_many_files(spark, tmp_path):
+    """Rows in order over files of a bounded size, several a task; what an attempt left unfinished isn't read; empty packets count."""
+    rows = spark.range(3000, numPartitions=3).selectExpr("1700000000999999 + id AS at", "cast(repeat('x', cast(id % 7 AS int)) AS binary) AS packet")
+    made = pcap.write(rows, f"file://{tmp_path}/out", file_bytes=4000)
+    (tmp_path / "out" / ".part-000000-000000.pcap.7").write_bytes(b"unfinished")
+    assert len(made) > 10 and sum(n for _, n in made) == 3000
+    assert max(f.stat().st_size for f in (tmp_path / "out").glob("part-*")) < 4100
+    found = pcap.read(spark, str(tmp_path / "out")).selectExpr("substring_index(file, '/', -1) AS name", "packet_no", "unix_micros(ts) AS at", "caplen", "len").collect()
+    assert [(r["at"], r["caplen"], r["len"]) for r in sorted(found)] == [(1700000000999999 + k, k % 7, k % 7) for k in range(3000)]
+    assert pcap.write(rows.limit(0), str(tmp_path / "none")) == [] and pcap.read(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_batches_of_empty_packets_are_bounded(tmp_path, monkeypatch):
+    monkeypatch.setattr(pcap, "BATCH_BYTES", 160)
+    (tmp_path / "e.pcap").write_bytes(pcap.dump([(1.0, b"")] * 25))
+    assert [b.num_rows for b in pcap.PcapReader(str(tmp_path)).read(pcap.Capture(str(tmp_path / "e.pcap")))] == [10, 10, 5]
+
+
+def test_capture_query_writes_parts(spark, tmp_path, monkeypatch):
+    """capture_files doesn't put all packets into one task's file."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from fluxmere.plans import catalog
+
+    seen = []
+    monkeypatch.setattr(pcap, "write", lambda *a, write=pcap.write, **b: seen.append(write(*a, **b)) or seen[-1])
+    n = 40_000
+    pq.write_table(pa.table({"event_id": list(range(n)), "user_id": [1] * n, "ts": pa.array([1_700_000_000_000_000 + k for k in range(n)], pa.timestamp("us"))}), tmp_path / "events.parquet")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = catalog.QUERIES["capture_files"](spark, str(tmp_path))
+        assert len(seen[0]) > 1
+        assert sorted(r.packet_no for r in found.collect()) == list(range(1, n + 1))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
