@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from ..errors import INTERNAL, EngineError
 
 STORAGE, DATA = "storage", "data"
+#: What a model keeps of a partition at most, in values of some 8 bytes, and what it keeps of a row besides its features.
+PART_VALUES, ROW_VALUES = 8 << 20, 24
 
 
 @dataclass(frozen=True)
@@ -138,6 +140,12 @@ def columns_of(df: DataFrame, params: dict[str, str], key: str = "columns", nume
     return named or [c for c, t in df.dtypes if not numeric or is_numeric(t)]
 
 
+def dealt(df: DataFrame, rows: int, features: int) -> DataFrame:
+    """df in partitions of a bounded number of rows, for models that keep rows in memory and go through them again and again; those of an input grow with it."""
+    parts = -(-rows * (features + ROW_VALUES) // PART_VALUES)
+    return df.repartition(max(parts, df.sparkSession.sparkContext.defaultParallelism)) if parts > 1 else df
+
+
 def require(df: DataFrame, column: str) -> str:
     if column not in df.columns:
         raise EngineError(f"column not found: {column}", INTERNAL)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import INTERNAL, EngineError
-from .base import Operator, columns_of, number, require
+from .base import Operator, columns_of, dealt, number, require
 
 
 def upper_gamma(s: float, x: float) -> float:
@@ -148,12 +148,14 @@ def regression(frames: list[DataFrame], params: dict[str, str]) -> DataFrame:
     return frames[0].sparkSession.createDataFrame(rows, "term string, coefficient double")
 
 
-def _classified(frames: list[DataFrame], params: dict[str, str], estimator) -> tuple[DataFrame, object, list[str], list[str]]:
+def _classified(frames: list[DataFrame], params: dict[str, str], estimator, keeps: bool = False) -> tuple[DataFrame, object, list[str], list[str]]:
+    """keeps: whether the estimator holds every row as an object of its own."""
     label = _label(frames[0], params)
     data, names = _features(frames[0], params, label)
     data = data.withColumn("_label_text", F.col(f"`{label}`").cast("string")).where("_label_text is not null")
     index = StringIndexer(inputCol="_label_text", outputCol="_label").fit(data)
-    fitted = estimator.fit(index.transform(data))
+    fed = index.transform(data)
+    fitted = estimator.fit(dealt(fed.select("_features", "_label"), data.count(), len(names)) if keeps else fed)
     return fitted.transform(index.transform(data)), fitted, names, index.labels
 
 
@@ -172,7 +174,7 @@ def logit(frames: list[DataFrame], params: dict[str, str]) -> DataFrame:
 
 def decisiontree(frames: list[DataFrame], params: dict[str, str]) -> DataFrame:
     """term and value: the importance of each column, accuracy, depth and nodes of a decision tree; `depth` 5."""
-    scored, model, names, _ = _classified(frames, params, DecisionTreeClassifier(featuresCol="_features", labelCol="_label", maxDepth=int(number(params, "depth", 5))))
+    scored, model, names, _ = _classified(frames, params, DecisionTreeClassifier(featuresCol="_features", labelCol="_label", maxDepth=int(number(params, "depth", 5))), keeps=True)
     rows = [*zip(names, map(float, model.featureImportances.toArray()), strict=True), ("accuracy", _accuracy(scored)), ("depth", float(model.depth)), ("nodes", float(model.numNodes))]
     return frames[0].sparkSession.createDataFrame(rows, "term string, value double")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from datetime import UTC, datetime
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator, MulticlassClassificationEvaluator, RegressionEvaluator
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import INTERNAL, NOT_FOUND, EngineError
-from .base import Operator, columns_of, number, require
+from .base import Operator, columns_of, dealt, number, require
 
 ALGORITHMS = ("kmeans", "random_forest", "gbt", "random_forest_regression")
 
@@ -62,20 +62,23 @@ def operators(registry: ModelRegistry) -> list[Operator]:
         label = None if kind == "kmeans" else require(df, params.get("label") or params.get("target") or "label")
         names = [c for c in columns_of(df, params) if c != label]
         data = df.dropna(subset=[*names, *([label] if label else [])])
-        stages = [VectorAssembler(inputCols=names, outputCol="_features")]
+        prepared, after, kept = [VectorAssembler(inputCols=names, outputCol="_features")], [], ["_features"]
         seed, trees = int(number(params, "seed", 1)), int(number(params, "trees", 20))
         if kind == "kmeans":
-            stages.append(KMeans(featuresCol="_features", predictionCol="prediction", k=int(number(params, "k", 2)), seed=seed))
+            made = KMeans(featuresCol="_features", predictionCol="prediction", k=int(number(params, "k", 2)), seed=seed)
         elif kind == "random_forest_regression":
-            stages.append(RandomForestRegressor(featuresCol="_features", labelCol=label, predictionCol="prediction", numTrees=trees, seed=seed))
+            made = RandomForestRegressor(featuresCol="_features", labelCol=label, predictionCol="prediction", numTrees=trees, seed=seed)
+            kept.append(f"`{label}`")
         else:
-            index = StringIndexer(inputCol=label, outputCol="_label", handleInvalid="keep")
+            index = StringIndexer(inputCol=label, outputCol="_label", handleInvalid="skip").fit(data)
             made = RandomForestClassifier(featuresCol="_features", labelCol="_label", predictionCol="_prediction", numTrees=trees, seed=seed) if kind == "random_forest" else GBTClassifier(featuresCol="_features", labelCol="_label", predictionCol="_prediction", maxIter=trees, seed=seed)
-            labels = index.setHandleInvalid("skip").fit(data).labels
-            stages += [index, made, IndexToString(inputCol="_prediction", outputCol="prediction", labels=labels)]
-        name = params.get("name", kind)
-        version = registry.save(name, Pipeline(stages=stages).fit(data), {"name": name, "algorithm": kind, "columns": names, "label": label})
-        return df.sparkSession.createDataFrame([(name, version, kind, data.count())], "name string, version int, algorithm string, rows bigint")
+            prepared.append(index)
+            after.append(IndexToString(inputCol="_prediction", outputCol="prediction", labels=index.labels))
+            kept.append("_label")
+        name, rows = params.get("name", kind), data.count()
+        fitted = made.fit(dealt(PipelineModel(prepared).transform(data).select(*kept), rows, len(names)))
+        version = registry.save(name, PipelineModel([*prepared, fitted, *after]), {"name": name, "algorithm": kind, "columns": names, "label": label})
+        return df.sparkSession.createDataFrame([(name, version, kind, rows)], "name string, version int, algorithm string, rows bigint")
 
     def _apply(df: DataFrame, params: dict[str, str]) -> tuple[DataFrame, dict]:
         model, about = registry.load(params.get("name", ""), int(number(params, "version", 0)) or None)

@@ -291,3 +291,30 @@ def test_granularity_of_distinct_rows_and_unions(spark):
     made.table("t.e", spark.createDataFrame([(x, "a") for x in at], "ts timestamp, k string"))
     assert made.execute("SELECT DISTINCT k FROM t.e GRANULARITY 60").df.count() == 2
     assert made.execute("SELECT k, count(*) AS n FROM t.e GROUP BY k UNION ALL SELECT k, max(1) AS n FROM t.e GROUP BY k GRANULARITY 60").df.count() == 4
+
+
+def test_models_get_partitions_of_a_bounded_size(spark, monkeypatch, tmp_path):
+    """However few partitions an input has, models that keep its rows get at most so many of them together, and all of them."""
+    from pyspark.ml import Estimator
+    from pyspark.sql import functions as F
+
+    from fluxmere.operators import base, explore, model
+
+    monkeypatch.setattr(base, "PART_VALUES", 100 * (1 + base.ROW_VALUES))
+    seen = []
+
+    def fit(self, df, params=None):
+        seen.append((type(self).__name__, df.groupBy(F.spark_partition_id()).count().agg(F.max("count"), F.sum("count")).first()))
+        return Estimator.fit(self, df, params)
+
+    for kind in (model.GBTClassifier, model.KMeans, explore.DecisionTreeClassifier):
+        monkeypatch.setattr(kind, "fit", fit)
+    engine = Engine(spark, folder=f"file://{tmp_path}")
+    engine.table("t", spark.range(2000, numPartitions=1).selectExpr("cast(id % 10 AS double) AS x", "CASE WHEN id % 10 > 6 THEN 'b' ELSE 'a' END AS v"))
+    engine.execute("SELECT x, v FROM t USING model.train WITH name=g, algorithm=gbt, trees=2 LABEL v")
+    engine.execute("SELECT x FROM t USING model.train WITH name=k, algorithm=kmeans")
+    assert dict(engine.execute("SELECT x, v FROM t USING explore.decisiontree LABEL v").df.collect())["accuracy"] == 1
+    assert [n for n, _ in seen] == ["GBTClassifier", "KMeans", "DecisionTreeClassifier"]
+    assert all(most <= 110 and rows == 2000 for _, (most, rows) in seen)
+    assert dict(engine.execute("SELECT x, v FROM t USING model.evaluate WITH name=g").df.collect()) == {"accuracy": 1, "f1": 1}
+    assert engine.execute("SELECT x FROM t USING model.predict WITH name=g").df.where("(prediction = 'b') <> (x > 6)").count() == 0
